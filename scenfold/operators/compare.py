@@ -2,9 +2,9 @@
 
 These run on a frame already summed to the analysis grain, so their windows span the years of one
 scenario, the scenarios of one year or the series of one bar, never raw rows. Side conditions (the
-first year, whether the reference exists) are scalar subqueries over the same frame. Each packs
-all columns into one struct so that column pruning leaves the frame as it is and Spark reuses its
-shuffle: the input is scanned once.
+first year, whether the reference exists) are scalar subqueries over the same frame: no job runs
+while the plan is built. The named analyses checkpoint that small frame first (``storage.cut``),
+so the two readers do not compute it twice.
 """
 
 from __future__ import annotations
@@ -23,10 +23,8 @@ REFERENCE = "Ref"
 DIFFERENCE_LABEL = "Difference between two scenarios"
 
 
-def _scalar(df: DataFrame, first: Column, pick) -> Column:
-    """``pick`` (min or max) of ``first`` over the whole frame, as a scalar subquery."""
-    packed = F.struct(first.alias("__x"), *[F.col(c) for c in df.columns])
-    return df.agg(pick(packed).getField("__x").alias("__x")).scalar()
+def _scalar(df: DataFrame, aggregate: Column) -> Column:
+    return df.agg(aggregate.alias("__x")).scalar()
 
 
 def rebase(
@@ -43,7 +41,7 @@ def rebase(
     The base year is the smallest year of the whole frame: a scenario that starts later, or is 0
     there, becomes NULL. Passing ``base_year`` skips the subquery that finds it.
     """
-    first = F.lit(base_year) if base_year is not None else _scalar(df, F.col(time), F.min)
+    first = F.lit(base_year) if base_year is not None else _scalar(df, F.min(time))
     at_base = F.max(F.when(F.col(time) == first, F.col(value)))
     return df.withColumn("__base", at_base.over(Window.partitionBy(*by))).select(
         *[c for c in df.columns if c != value],
@@ -64,7 +62,7 @@ def reldiff(
     NULL where the reference is missing or 0. The query fails when the frame holds no reference
     at all.
     """
-    exists = _scalar(df, F.col(scenario) == F.lit(ref), F.max)
+    exists = _scalar(df, F.max(F.col(scenario) == F.lit(ref)))
     at_ref = F.max(F.when(F.col(scenario) == F.lit(ref), F.col(value)))
     percent = safe_div(F.col(value) - F.col("__ref"), F.col("__ref")) * 100.0
     missing = F.raise_error(F.lit(f"reference scenario {ref!r} not found")).cast("double")

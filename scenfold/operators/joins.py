@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -38,12 +38,15 @@ def side_by_side(
     parts: Mapping[str, DataFrame],
     keys: Sequence[str] = (SCENARIO, TIME),
     value: str = VALUE,
+    *,
+    averaged: Collection[str] = (),
 ) -> DataFrame:
     """One column per part, aligned on ``keys``: JOIN-4..7 without a join.
 
-    The tagged parts are stacked and summed per tag in a single aggregate, so N parts cost one
-    shuffle with map-side combine instead of N-1 joins, and a hot key cannot skew a join. A part
-    without rows for a key is NULL there; one with only missing values is 0.
+    The tagged rows of all parts are stacked and summed per tag (averaged for the parts named in
+    ``averaged``) in a single aggregate. Parts need no aggregation of their own, so N parts cost
+    one shuffle with map-side combine instead of N shuffles and N-1 joins, and a hot key cannot
+    skew a join. A part without rows for a key is NULL there; a sum of only missing values is 0.
     """
     stacked = union_all(
         *[
@@ -54,9 +57,11 @@ def side_by_side(
     columns = []
     for name in parts:
         mine = F.col(_PART) == F.lit(name)
-        summed = F.sum(F.when(mine, F.col(value)))
-        present = F.max(mine)
-        columns.append(F.when(present, F.coalesce(summed, F.lit(0.0))).alias(name))
+        own = F.when(mine, F.col(value))
+        if name in averaged:
+            columns.append(F.avg(own).alias(name))
+        else:
+            columns.append(F.when(F.max(mine), F.coalesce(F.sum(own), F.lit(0.0))).alias(name))
     return stacked.groupBy(*keys).agg(*columns)
 
 

@@ -13,6 +13,7 @@ from scenfold.operators.aggregates import agg_mean, agg_sum
 from scenfold.operators.compare import REFERENCE, rebase, reldiff
 from scenfold.operators.filters import Value, filter_dims, horizon as until, years as only_years
 from scenfold.operators.reshape import pivot_mean
+from scenfold.sources.storage import cut
 
 
 def _selected(
@@ -45,8 +46,8 @@ def supply_demand(
     rows = _selected(catalog, sector, region, comm, flow, horizon, years)
     df = (agg_sum if agg == "sum" else agg_mean)(rows, [SCENARIO, YEAR])
     if index:
-        return rebase(df, time=YEAR)
-    return reldiff(df, ref, by=(YEAR,)) if relative else df
+        return rebase(cut(df), time=YEAR)
+    return reldiff(cut(df), ref, by=(YEAR,)) if relative else df
 
 
 def supply_demand_flows(

@@ -14,15 +14,20 @@ from pyspark.sql import functions as F
 from scenfold.functions.scalars import lookup, product, safe_div, zero_if_null
 from scenfold.metadata import DEFAULT, ModelMetadata
 from scenfold.model import SCENARIO, TIME, VALUE, YEAR
-from scenfold.operators.aggregates import agg_sum, factor_mean
+from scenfold.operators.aggregates import factor_mean
 from scenfold.operators.filters import Value, eq, filter_dims, horizon as until, is_open
 from scenfold.operators.joins import side_by_side
 from scenfold.plans.mixes import liquids_mix
-from scenfold.plans.parameters import grt
+from scenfold.plans.parameters import grt_rows
 
 #: Years past this are never part of an intensity.
 LAST_YEAR = 2100
 
+#: Parts that are model parameters of one sector (N-1).
+PARAMETER_PARTS = (
+    "direct", "process", "output", "elec_emissions", "elec_output", "crude_direct", "crude_process",
+)
+
 #: Fixed regional fuel mix behind scope 3.
 LIQUIDS_REGION = "USA"
 
@@ -33,12 +38,18 @@ def _scope2_parts(
 ) -> dict[str, DataFrame]:
     use = filter_dims(until(catalog["ei_t"], horizon), e=carrier, G=sector, R=region)
     return {
-        "elec_emissions": grt(catalog, "sco2", meta.electricity, region, horizon, meta=meta),
-        "elec_output": grt(catalog, "agy", meta.electricity, region, horizon, meta=meta),
-        "elec_use": agg_sum(use, [SCENARIO, TIME]),
+        "elec_emissions": grt_rows(catalog, "sco2", meta.electricity, region, horizon, meta=meta),
+        "elec_output": grt_rows(catalog, "agy", meta.electricity, region, horizon, meta=meta),
+        "elec_use": use,
     }
 
 
+def _aligned(parts: Mapping[str, DataFrame], region: Value) -> DataFrame:
+    """All parts by scenario and year. For one region, duplicate parameter rows are averaged."""
+    averaged = [] if is_open(region) else [name for name in parts if name in PARAMETER_PARTS]
+    return side_by_side(parts, averaged=averaged)
+
+
 def _scope2() -> Column:
     return product(safe_div("elec_emissions", "elec_output"), "elec_use")
 
@@ -55,7 +66,7 @@ def scope2(
     """N-3: emissions of the electricity a sector uses, as intensity of supply times use."""
     parts = _scope2_parts(catalog, sector, region, horizon, meta, carrier or meta.electricity)
     return (
-        side_by_side(parts)
+        _aligned(parts, region)
         .filter(F.col("elec_emissions").isNotNull())
         .select(SCENARIO, TIME, _scope2().alias(VALUE))
     )
@@ -69,10 +80,9 @@ def non_co2(
     *,
     meta: ModelMetadata = DEFAULT,
 ) -> DataFrame:
-    """Other greenhouse gases of a sector in CO2 equivalents."""
+    """Rows of a sector's other greenhouse gases in CO2 equivalents."""
     gases = filter_dims(until(catalog["ghgky"], horizon), G=sector, R=region)
-    weighted = product(VALUE, lookup("GHG", meta.gwp)) / 1000.0
-    return agg_sum(gases.withColumn(VALUE, weighted), [SCENARIO, TIME])
+    return gases.withColumn(VALUE, product(VALUE, lookup("GHG", meta.gwp)) / 1000.0)
 
 
 def energy_factor(
@@ -152,7 +162,7 @@ def intensity(
     if with_scope3 and sector != meta.refined_oil and not any_sector:
         raise ValueError("scope 3 is defined for refined oil; pass any_sector=True to force it")
     last = min(horizon, LAST_YEAR)
-    value = lambda symbol, g: grt(catalog, symbol, g, region, last, meta=meta)
+    value = lambda symbol, g: grt_rows(catalog, symbol, g, region, last, meta=meta)
 
     parts = {"direct": value("sco2", sector), "output": value("agy_bt", sector)}
     scope1 = F.col("direct")
@@ -184,7 +194,7 @@ def intensity(
     if with_scope3:
         parts["burning"] = liquids_emission_factor(catalog, liquids_region, meta=meta)
 
-    aligned = side_by_side(parts).filter(F.col("output").isNotNull())
+    aligned = _aligned(parts, region).filter(F.col("output").isNotNull())
     df = sector_intensity(aligned, emissions, catalog, sector, region, meta=meta)
     if with_scope3:
         base = "scope12" if with_scope2 else "scope1"

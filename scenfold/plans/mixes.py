@@ -20,7 +20,7 @@ from scenfold.operators.compare import row_share
 from scenfold.operators.filters import Value, eq, filter_dims, horizon as until, isin
 from scenfold.operators.joins import convert, side_by_side
 from scenfold.operators.projections import relabel, split
-from scenfold.plans.parameters import grt
+from scenfold.plans.parameters import grt_rows, is_averaged
 
 #: Optional steel symbols and the technology they report.
 STEEL_CCS_SYMBOLS = {"ish2t_out": "DRI-H2 CCS", "isgcapt_out": "DRI-EAF CCS"}
@@ -125,12 +125,13 @@ def _steel_frame(
     extra: Mapping[str, DataFrame], meta: ModelMetadata,
 ) -> DataFrame:
     """Steel output and carrier energy side by side, from one aggregate."""
-    parts = {"output": grt(catalog, "agy", meta.steel, region, horizon, meta=meta)}
+    parts = {"output": grt_rows(catalog, "agy", meta.steel, region, horizon, meta=meta)}
     energy = filter_dims(
         until(catalog["ee_sect"], horizon), G=meta.steel, R=region, e=list(meta.steel_carriers)
     ).select(SCENARIO, TIME, lookup("e", meta.steel_carriers).alias("e"), VALUE)
     parts.update({carrier: eq(energy, "e", carrier) for carrier in CARRIERS})
-    return side_by_side({**parts, **extra})
+    averaged = ["output"] if is_averaged("agy", region, meta=meta) else []
+    return side_by_side({**parts, **extra}, averaged=averaged)
 
 
 def _with_intensity(df: DataFrame) -> DataFrame:

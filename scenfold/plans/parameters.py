@@ -14,11 +14,35 @@ from scenfold.operators.compare import REFERENCE, rebase, reldiff
 from scenfold.operators.filters import Value, filter_dims, horizon as until, is_open, years as only_years
 from scenfold.operators.joins import convert
 from scenfold.operators.reshape import pivot_mean
+from scenfold.sources.storage import cut
 
 #: Symbols measured in output value, which tonnage sectors convert.
 OUTPUT_SYMBOLS = ("agy", "agy_bt")
 
 
+def grt_rows(
+    catalog: Mapping[str, DataFrame],
+    attr: str,
+    sector: Value,
+    region: Value = "global",
+    horizon: int = 2100,
+    *,
+    meta: ModelMetadata = DEFAULT,
+    strict: bool = False,
+) -> DataFrame:
+    """The rows N-1 aggregates: filtered, scaled, and divided by the region's tonnage factor."""
+    df = filter_dims(until(catalog[attr], horizon), G=sector, R=region)
+    df = df.select(SCENARIO, TIME, "R", scale(VALUE, meta.converter(attr)).alias(VALUE))
+    if attr in OUTPUT_SYMBOLS and sector in meta.conversion:
+        df = convert(df, meta.conversion[sector], strict=strict)
+    return df
+
+
+def is_averaged(attr: str, region: Value = "global", *, meta: ModelMetadata = DEFAULT) -> bool:
+    """Prices are averaged over regions; for one region, duplicate rows are."""
+    return not is_open(region) or meta.parameter_type(attr) == "price"
+
+
 def grt(
     catalog: Mapping[str, DataFrame],
     attr: str,
@@ -32,15 +56,13 @@ def grt(
     """N-1: a parameter of one sector by scenario and year.
 
     Output of a tonnage sector is divided by its region's factor first, so the global figure is a
-    sum of converted values. Prices are averaged over regions. For a single region, duplicate
-    rows are averaged.
+    sum of converted values.
     """
-    df = filter_dims(until(catalog[attr], horizon), G=sector, R=region)
-    df = df.select(SCENARIO, TIME, "R", scale(VALUE, meta.converter(attr)).alias(VALUE))
-    if attr in OUTPUT_SYMBOLS and sector in meta.conversion:
-        df = convert(df, meta.conversion[sector], strict=strict)
+    rows = grt_rows(catalog, attr, sector, region, horizon, meta=meta, strict=strict)
     keys = [SCENARIO, TIME]
-    return agg_by_type(df, keys, meta.parameter_type(attr)) if is_open(region) else agg_mean(df, keys)
+    if is_averaged(attr, region, meta=meta):
+        return agg_mean(rows, keys)
+    return agg_by_type(rows, keys, meta.parameter_type(attr))
 
 
 def compare(
@@ -52,8 +74,13 @@ def compare(
     ref: str = REFERENCE,
     time: str = TIME,
 ) -> DataFrame:
-    """Explicit years, then rebase, then difference from the reference, each if asked for."""
+    """Explicit years, then rebase, then difference from the reference, each if asked for.
+
+    A frame that is compared is computed once and checkpointed.
+    """
     df = only_years(df, years, time)
+    if index or relative:
+        df = cut(df)
     if index:
         df = rebase(df, time=time)
     if relative:
@@ -95,4 +122,6 @@ def axis_label(attr: str, *, index: bool = False, relative: bool = False, meta:
     return axis if kind == "price" else f"{axis} in {unit}"
 
 
-__all__ = ["OUTPUT_SYMBOLS", "axis_label", "compare", "grt", "grt_compare"]
+__all__ = [
+    "OUTPUT_SYMBOLS", "axis_label", "compare", "grt", "grt_compare", "grt_rows", "is_averaged",
+]

@@ -17,6 +17,7 @@ from scenfold.operators.aggregates import agg_sum
 from scenfold.operators.compare import REFERENCE, rebase, reldiff, row_share, scenario_diff
 from scenfold.operators.filters import eq, horizon as until
 from scenfold.operators.projections import relabel
+from scenfold.sources.storage import cut
 
 FLOWS = ("imports", "exports")
 
@@ -110,6 +111,8 @@ def trade_by_scenario(
     else:
         rows = region_flows(catalog, sector, region, flow, net=net, horizon=horizon)
     df = agg_sum(rows, [SCENARIO, YEAR])
+    if relative or index:
+        df = cut(df)
     if relative:
         df = reldiff(df, ref, by=(YEAR,))
     if index:

@@ -248,19 +248,19 @@ ALL_SCOPES = f"""
       WHEN 'Biofuels' THEN 0.0 WHEN 'Other' THEN 67.0 END) / sum(v) AS ef
     FROM fuels GROUP BY Scenario, t),
   scopes AS (SELECT o.Scenario, o.t,
-      d.Value / (o.Value * k.Value) AS s1,
-      (d.Value + ed.Value / eo.Value * u.Value + cd.Value + cp.Value) / (o.Value * k.Value) AS s12,
-      (d.Value + ed.Value / eo.Value * u.Value + cd.Value + cp.Value) / (o.Value * k.Value) + b.ef AS s123
+      d.Value / (o.Value * coalesce(k.Value, 1.0)) AS s1,
+      (d.Value + ed.Value / eo.Value * u.Value + cd.Value + cp.Value) / (o.Value * coalesce(k.Value, 1.0)) AS s12,
+      (d.Value + ed.Value / eo.Value * u.Value + cd.Value + cp.Value) / (o.Value * coalesce(k.Value, 1.0)) + b.ef AS s123
     FROM agy_bt o
-    JOIN sco2 d ON d.G = 'LARGE' AND d.R = 'ASIA' AND d.Scenario = o.Scenario AND d.t = o.t
-    JOIN sco2 ed ON ed.G = 'ECONOMY' AND ed.R = 'ASIA' AND ed.Scenario = o.Scenario AND ed.t = o.t
-    JOIN (SELECT Scenario, t, Value / 0.05 AS Value FROM agy WHERE G = 'ECONOMY' AND R = 'ASIA') eo
+    LEFT JOIN sco2 d ON d.G = 'LARGE' AND d.R = 'ASIA' AND d.Scenario = o.Scenario AND d.t = o.t
+    LEFT JOIN sco2 ed ON ed.G = 'ECONOMY' AND ed.R = 'ASIA' AND ed.Scenario = o.Scenario AND ed.t = o.t
+    LEFT JOIN (SELECT Scenario, t, Value / 0.05 AS Value FROM agy WHERE G = 'ECONOMY' AND R = 'ASIA') eo
       ON eo.Scenario = o.Scenario AND eo.t = o.t
-    JOIN ei_t u ON u.e = 'A' AND u.G = 'LARGE' AND u.R = 'ASIA' AND u.Scenario = o.Scenario AND u.t = o.t
-    JOIN sco2 cd ON cd.G = 'SMALL' AND cd.R = 'ASIA' AND cd.Scenario = o.Scenario AND cd.t = o.t
-    JOIN etotco2 cp ON cp.G = 'SMALL' AND cp.R = 'ASIA' AND cp.Scenario = o.Scenario AND cp.t = o.t
-    JOIN ejoe k ON k.G = 'LARGE' AND k.R = 'ASIA' AND k.Scenario = o.Scenario
-    JOIN burning b ON b.Scenario = o.Scenario AND b.t = o.t
+    LEFT JOIN ei_t u ON u.e = 'A' AND u.G = 'LARGE' AND u.R = 'ASIA' AND u.Scenario = o.Scenario AND u.t = o.t
+    LEFT JOIN sco2 cd ON cd.G = 'SMALL' AND cd.R = 'ASIA' AND cd.Scenario = o.Scenario AND cd.t = o.t
+    LEFT JOIN etotco2 cp ON cp.G = 'SMALL' AND cp.R = 'ASIA' AND cp.Scenario = o.Scenario AND cp.t = o.t
+    LEFT JOIN ejoe k ON k.G = 'LARGE' AND k.R = 'ASIA' AND k.Scenario = o.Scenario
+    LEFT JOIN burning b ON b.Scenario = o.Scenario AND b.t = o.t
     WHERE o.G = 'LARGE' AND o.R = 'ASIA')"""
 SCOPE_SYMBOLS = "agy agy_bt sco2 etotco2 ei_t ejoe e_aai fuelmap"
 
@@ -321,7 +321,7 @@ ORACLE: dict[str, str] = {
         SELECT Scenario, t, round(sum(Value) * 0.001::DOUBLE, 5) AS thousands, round(sum(Value) * 10, 1) AS tens,
           round(sum(Value) / 3.6::DOUBLE * 1000, 0) AS twh FROM agy GROUP BY Scenario, t"""),
     "sca_try_divide": _sql("agy", """
-        SELECT Scenario, G, t, round(sum(Value) / nullif(CASE WHEN G = 'SMALL' THEN 0 ELSE t - 1990 END, 0), 3)
+        SELECT Scenario, G, t, round(sum(Value) / nullif(CASE WHEN G = 'SMALL' THEN 0 ELSE t - 1990 END, 0), 5)
           AS Value FROM agy GROUP BY Scenario, G, t"""),
     "sca_map": _sql("ghgky gwp", """
         SELECT Scenario, GHG, t, round(sum(Value) * max(CASE WHEN GHG <> 'MACHINERY' THEN w END), 1) AS Value
@@ -335,10 +335,10 @@ ORACLE: dict[str, str] = {
         b AS (SELECT * FROM (VALUES ('Transport', 'Gasoline', 0.67::DOUBLE), ('Transport', 'Diesel', 0.24),
           ('Transport', 'Kerosene', 0.09), ('Diesel', 'Diesel', 1.0), ('Gasoline', 'Gasoline', 1.0),
           ('Coke', 'Coke', 1.0), ('Other', 'Other', 1.0)) v(src, dst, w))
-        SELECT Scenario, t, dst AS fuel, round(sum(v * w), 2) AS Value FROM f JOIN b ON src = fuel
+        SELECT Scenario, t, dst AS fuel, round(sum(v * w), 4) AS Value FROM f JOIN b ON src = fuel
         GROUP BY Scenario, t, dst"""),
     "sca_product": _sql("agy dpd", """
-        SELECT a.Scenario, a.t, a.G, a.R, round(a.Value * d.Value, 3) AS Value
+        SELECT a.Scenario, a.t, a.G, a.R, round(a.Value * d.Value, 8) AS Value
         FROM agy a JOIN dpd d ON a.Scenario = d.Scenario AND a.t = d.t AND a.G = d.G AND a.R = d.R"""),
     # --- joins
     "join_left": _sql("agy etotco2", """
@@ -350,8 +350,8 @@ ORACLE: dict[str, str] = {
         SELECT Scenario, R, t, round(Value / f, 3) AS Value FROM agy LEFT JOIN conv USING (R)
         WHERE G = 'PROMO'"""),
     "join_factor": _sql("agy ejoe", """
-        SELECT a.Scenario, a.R, a.G, a.t, round(coalesce(k.Value, 1.0), 3) AS factor,
-          round(a.Value * coalesce(k.Value, 1.0), 3) AS Value
+        SELECT a.Scenario, a.R, a.G, a.t, round(coalesce(k.Value, 1.0), 8) AS factor,
+          round(a.Value * coalesce(k.Value, 1.0), 8) AS Value
         FROM agy a LEFT JOIN ejoe k ON a.Scenario = k.Scenario AND a.R = k.R AND a.G = k.G"""),
     "join_align": _sql("sco2 etotco2", """
         SELECT a.Scenario, a.t, a.R, round(a.Value + b.Value, 6) AS added, round(b.Value / a.Value, 6) AS ratio
@@ -360,14 +360,14 @@ ORACLE: dict[str, str] = {
         WHERE a.G = 'PROMO'"""),
     # --- aggregations and reshape
     "agg_sum": _sql("agy", "SELECT Scenario, t, round(sum(Value), 2) AS Value FROM agy GROUP BY Scenario, t"),
-    "agg_mean": _sql("dpd", "SELECT Scenario, t, round(avg(Value), 6) AS Value FROM dpd GROUP BY Scenario, t"),
+    "agg_mean": _sql("dpd", "SELECT Scenario, t, round(avg(Value), 9) AS Value FROM dpd GROUP BY Scenario, t"),
     "agg_by_type": _sql("agy dpd", """
-        SELECT a.Scenario, a.t, round(p, 6) AS price, round(o, 2) AS output
+        SELECT a.Scenario, a.t, round(p, 9) AS price, round(o, 2) AS output
         FROM (SELECT Scenario, t, sum(Value) AS o FROM agy GROUP BY Scenario, t) a
         JOIN (SELECT Scenario, t, avg(Value) AS p FROM dpd GROUP BY Scenario, t) d
           ON a.Scenario = d.Scenario AND a.t = d.t"""),
     "agg_factor_mean": _sql("ejoe", """
-        SELECT Scenario, G, round(avg(Value), 6) AS Value FROM ejoe GROUP BY Scenario, G"""),
+        SELECT Scenario, G, round(avg(Value), 9) AS Value FROM ejoe GROUP BY Scenario, G"""),
     "agg_ndistinct": _sql("fact", """
         SELECT count(DISTINCT Scenario) AS Scenario, count(DISTINCT t) AS t, count(DISTINCT R) AS R,
           count(DISTINCT G) AS G, count(DISTINCT ne) AS ne FROM fact"""),
@@ -378,7 +378,7 @@ ORACLE: dict[str, str] = {
         SELECT Scenario, t, {_columns("G", _same(("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")))}
         FROM agy GROUP BY Scenario, t"""),
     "pivot_mean": _sql("dpd", f"""
-        SELECT t, {_columns("Scenario", _same(SCENARIOS), digits=6, agg="avg")} FROM dpd GROUP BY t"""),
+        SELECT t, {_columns("Scenario", _same(SCENARIOS), digits=9, agg="avg")} FROM dpd GROUP BY t"""),
     "pivot_auto": _sql("ee_sect", f"""
         SELECT Scenario, t, {_columns("R", _same(("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")))}
         FROM ee_sect WHERE G = 'PROMO' AND e = 'A' GROUP BY Scenario, t"""),
@@ -406,10 +406,11 @@ ORACLE: dict[str, str] = {
         SELECT Scenario, t, G, round(sum(Value) / sum(sum(Value)) OVER (PARTITION BY Scenario, t) * 100, 6) AS Value
         FROM agy GROUP BY Scenario, t, G"""),
     "cmp_scendiff": _sql("data", f"""
-        SELECT a.Year, a.Region, round(a.Value - b.Value, 2) AS Value,
-          'Difference between two scenarios' AS Scenario
-        FROM data a JOIN data b ON a.Year = b.Year AND a.Region = b.Region AND a.Attribute = b.Attribute
-        WHERE a.Attribute = 'LARGE' AND a.Scenario = '2-HIGH' AND b.Scenario = {REF}"""),
+        SELECT coalesce(a.Year, b.Year) AS Year, coalesce(a.Region, b.Region) AS Region,
+          round(a.Value - b.Value, 2) AS Value, 'Difference between two scenarios' AS Scenario
+        FROM (SELECT * FROM data WHERE Attribute = 'LARGE' AND Scenario = '2-HIGH') a
+        FULL JOIN (SELECT * FROM data WHERE Attribute = 'LARGE' AND Scenario = {REF}) b
+          ON a.Year = b.Year AND a.Region = b.Region"""),
     "srt_keys": _sql("sco2", """
         SELECT Scenario, t, round(sum(Value), 2) AS Value FROM sco2 GROUP BY Scenario, t
         ORDER BY Scenario DESC, t"""),
@@ -431,7 +432,7 @@ ORACLE: dict[str, str] = {
         SELECT Scenario, t, round(Value / 0.05::DOUBLE, 3) AS Value FROM agy_bt
         WHERE G = 'PROMO' AND R = 'ASIA' AND t <= 2000"""),
     "grt_price": _sql("dpd", """
-        SELECT Scenario, t, round(avg(Value), 6) AS Value FROM dpd WHERE G = 'SMALL' GROUP BY Scenario, t"""),
+        SELECT Scenario, t, round(avg(Value), 9) AS Value FROM dpd WHERE G = 'SMALL' GROUP BY Scenario, t"""),
     "grt_index": _sql("promo", f"""
         SELECT t, {_columns("Scenario", _same(SCENARIOS), value="v", digits=6, agg="max")}
         FROM (SELECT a.Scenario, a.t, a.v / b.v * 100 AS v FROM promo a
@@ -518,10 +519,11 @@ ORACLE: dict[str, str] = {
         FROM impo LEFT JOIN rnames ON code = Region"""),
     "trade_scendiff": _sql("expo rnames", f"""
         , s AS (SELECT Scenario, Year, Region, v / sum(v) OVER (PARTITION BY Scenario, Year) * 100 AS v FROM expo)
-        SELECT a.Year, coalesce(name, a.Region) AS Region, round(a.v - b.v, 6) AS Value,
-          'Difference between two scenarios' AS Scenario
-        FROM s a JOIN s b ON a.Year = b.Year AND a.Region = b.Region LEFT JOIN rnames ON code = a.Region
-        WHERE a.Scenario = '2-HIGH' AND b.Scenario = {REF}"""),
+        SELECT coalesce(a.Year, b.Year) AS Year, coalesce(name, a.Region, b.Region) AS Region,
+          round(a.v - b.v, 6) AS Value, 'Difference between two scenarios' AS Scenario
+        FROM (SELECT * FROM s WHERE Scenario = '2-HIGH') a
+        FULL JOIN (SELECT * FROM s WHERE Scenario = {REF}) b ON a.Year = b.Year AND a.Region = b.Region
+        LEFT JOIN rnames ON code = coalesce(a.Region, b.Region)"""),
     "trade_scenario": _sql("impo", f"""
         , s AS (SELECT Scenario, Year, sum(v) AS v FROM impo GROUP BY Scenario, Year)
         SELECT a.Scenario, a.Year, round((a.v - b.v) / b.v * 100, 6) AS Value FROM s a

@@ -22,12 +22,14 @@ from scenfold.sources.registry import scenario_registry
 from scenfold.sources.star import (
     REFERENCE_SCENARIO as REF,
     SCENARIOS,
+    amount,
     facts,
     shared_catalog,
     star_catalog,
     star_symbol,
     table,
 )
+from scenfold.sources.storage import cut
 from workload.settings import ELECTRICITY_CARRIER, ENERGY_META, HORIZON, META, YEARS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +46,10 @@ def query(fn: Query) -> Query:
 
 
 def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
-    """Doubles at comparison precision: engines sum them in different orders."""
+    """Doubles at comparison precision: engines sum them in different orders.
+
+    The digits are chosen per query so that no exact result sits halfway between two roundings.
+    """
     return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in cols or (VALUE,)})
 
 
@@ -95,7 +100,7 @@ def src_stamp(spark, sf_dir):
 @query
 def src_rename(spark, sf_dir):
     raw = facts(spark, sf_dir, ["t", "G", "R", "qty"])
-    raw = raw.groupBy("t", "G", "R").agg(F.sum("qty").cast("double").alias("level"))
+    raw = raw.groupBy("t", "G", "R").agg(amount("qty").alias("level"))
     return sources.rename_symbol("sco2", raw.toDF("d1", "d2", "d3", "level"))
 
 
@@ -197,7 +202,7 @@ def sca_units(spark, sf_dir):
 def sca_try_divide(spark, sf_dir):
     df = aggregates.agg_sum(star_symbol(spark, sf_dir, "agy"), [SCENARIO, "G", "t"])
     divisor = F.when(F.col("G") == "SMALL", 0.0).otherwise(F.col("t") - 1990.0)
-    return df.select(SCENARIO, "G", "t", F.round(safe_div(F.col(VALUE), divisor), 3).alias(VALUE))
+    return df.select(SCENARIO, "G", "t", F.round(safe_div(F.col(VALUE), divisor), 5).alias(VALUE))
 
 
 @query
@@ -220,14 +225,14 @@ def sca_split(spark, sf_dir):
     use = star_symbol(spark, sf_dir, "e_aai")
     fuels = use.select(SCENARIO, "t", lookup("G", META.sector_fuels).alias("fuel"), VALUE)
     parts = projections.split(aggregates.agg_sum(fuels, [*KEYS, "fuel"]), "fuel", TRANSPORT_SPLIT)
-    return rows(aggregates.agg_sum(parts, [*KEYS, "fuel"]), "t", "fuel")
+    return rows(aggregates.agg_sum(parts, [*KEYS, "fuel"]), "t", "fuel", digits=4)
 
 
 @query
 def sca_product(spark, sf_dir):
     catalog = shared_catalog(spark, sf_dir, ["agy", "DPD"])
     both = joins.side_by_side({"a": catalog["agy"], "b": catalog["DPD"]}, [*KEYS, "G", "R"])
-    return both.select(*KEYS, "G", "R", F.round(product("a", "b"), 3).alias(VALUE))
+    return both.select(*KEYS, "G", "R", F.round(product("a", "b"), 8).alias(VALUE))
 
 
 # --- Joins -------------------------------------------------------------------
@@ -254,7 +259,7 @@ def join_factor(spark, sf_dir):
     factors = catalog["ejoe"].select(SCENARIO, "R", "G", VALUE)
     df = joins.with_factor(catalog["agy"], factors, [SCENARIO, "R", "G"], default=1.0)
     df = df.withColumn(VALUE, product(VALUE, "factor"))
-    return rounded(df.select(SCENARIO, "R", "G", "t", "factor", VALUE), 3, "factor", VALUE)
+    return rounded(df.select(SCENARIO, "R", "G", "t", "factor", VALUE), 8, "factor", VALUE)
 
 
 @query
@@ -278,7 +283,7 @@ def agg_sum(spark, sf_dir):
 
 @query
 def agg_mean(spark, sf_dir):
-    return rows(aggregates.agg_mean(star_symbol(spark, sf_dir, "DPD"), KEYS), "t", digits=6)
+    return rows(aggregates.agg_mean(star_symbol(spark, sf_dir, "DPD"), KEYS), "t", digits=9)
 
 
 @query
@@ -287,13 +292,13 @@ def agg_by_type(spark, sf_dir):
     price = aggregates.agg_by_type(catalog["DPD"], KEYS, META.parameter_type("DPD"))
     output = aggregates.agg_by_type(catalog["agy"], KEYS, META.parameter_type("agy"))
     both = joins.side_by_side({"price": price, "output": output})
-    return rounded(both, 6, "price").withColumn("output", F.round("output", 2))
+    return rounded(both, 9, "price").withColumn("output", F.round("output", 2))
 
 
 @query
 def agg_factor_mean(spark, sf_dir):
     df = aggregates.factor_mean(star_symbol(spark, sf_dir, "ejoe"), [SCENARIO, "G"])
-    return rows(df, "G", digits=6)
+    return rows(df, "G", digits=9)
 
 
 @query
@@ -318,7 +323,7 @@ def pivot_sum(spark, sf_dir):
 @query
 def pivot_mean(spark, sf_dir):
     df = reshape.pivot_mean(star_symbol(spark, sf_dir, "DPD"), [TIME], SCENARIO, SCENARIOS)
-    return rounded(df, 6, *SCENARIOS)
+    return rounded(df, 9, *SCENARIOS)
 
 
 @query
@@ -344,7 +349,7 @@ def _output(spark, sf_dir):
 
 @query
 def cmp_index(spark, sf_dir):
-    return rows(compare.rebase(_output(spark, sf_dir)), "t", digits=6)
+    return rows(compare.rebase(cut(_output(spark, sf_dir))), "t", digits=6)
 
 
 @query
@@ -354,7 +359,7 @@ def cmp_index_years(spark, sf_dir):
 
 @query
 def cmp_reldiff(spark, sf_dir):
-    return rows(compare.reldiff(_output(spark, sf_dir), REF), "t", digits=6)
+    return rows(compare.reldiff(cut(_output(spark, sf_dir)), REF), "t", digits=6)
 
 
 @query
@@ -426,7 +431,7 @@ def grt_region(spark, sf_dir):
 
 @query
 def grt_price(spark, sf_dir):
-    return rows(parameters.grt(star_catalog(spark, sf_dir), "DPD", "SMALL", meta=META), "t", digits=6)
+    return rows(parameters.grt(star_catalog(spark, sf_dir), "DPD", "SMALL", meta=META), "t", digits=9)
 
 
 @query
