@@ -48,10 +48,10 @@ def side_by_side(
     one shuffle with map-side combine instead of N shuffles and N-1 joins, and a hot key cannot
     skew a join. A part without rows for a key is NULL there; a sum of only missing values is 0.
     """
+    stacked_value = F.col(value).cast("double").alias(value)
     stacked = union_all(
         *[
-            df.select(*keys, F.col(value).cast("double").alias(value), F.lit(name).alias(_PART))
-            for name, df in parts.items()
+            df.select(*keys, stacked_value, F.lit(name).alias(_PART)) for name, df in parts.items()
         ]
     )
     columns = []

@@ -23,7 +23,6 @@ ORDER_DIMS = (SCENARIO, "t")
 CUSTOMER_DIMS = ("R", "GHG")
 SUPPLIER_DIMS = ("RR",)
 PART_DIMS = ("G", "ne")
-LINE_DIMS = ("e", "tech")
 MEASURES = ("price", "net", "qty", "disc", "tax", "n")
 
 REFERENCE_SCENARIO = "1-URGENT"
@@ -67,9 +66,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hundredths(col: str) -> Column:
+def hundredths(col: str) -> str:
     """A two-decimal double as an exact whole number, without the slow double-to-decimal cast."""
-    return F.rint(F.col(col) * 100).cast("bigint")
+    return f"cast(rint({col} * 100) as bigint)"
+
+
+#: Columns of the order-line view, as expressions over the table that holds them.
+LINE_COLUMNS = {
+    "e": "l_returnflag",
+    "tech": "l_linestatus",
+    "price": hundredths("l_extendedprice"),
+    "net": f"{hundredths('l_extendedprice')} * (100 - {hundredths('l_discount')})",
+    "qty": hundredths("l_quantity"),
+    "disc": hundredths("l_discount"),
+    "tax": hundredths("l_tax"),
+    "n": "1L",
+}
+ORDER_COLUMNS = {SCENARIO: "o_orderpriority", "t": "year(o_orderdate)"}
+PART_COLUMNS = {"G": "p_type", "ne": "p_brand"}
 
 
 def facts(spark: SparkSession, sf_dir: str, columns: Iterable[str]) -> DataFrame:
@@ -82,39 +96,31 @@ def facts(spark: SparkSession, sf_dir: str, columns: Iterable[str]) -> DataFrame
     """
     columns = list(dict.fromkeys(columns))
     wanted = set(columns)
-    load = lambda name: table(spark, sf_dir, name)
-
-    out = load("lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey",
-        F.col("l_returnflag").alias("e"),
-        F.col("l_linestatus").alias("tech"),
-        hundredths("l_extendedprice").alias("price"),
-        (hundredths("l_extendedprice") * (F.lit(100) - hundredths("l_discount"))).alias("net"),
-        hundredths("l_quantity").alias("qty"),
-        hundredths("l_discount").alias("disc"),
-        hundredths("l_tax").alias("tax"),
-        F.lit(1).cast("bigint").alias("n"),
-    )
-    if wanted & {*ORDER_DIMS, *CUSTOMER_DIMS}:
-        orders = load("orders").select(
-            "o_orderkey", "o_custkey",
-            F.col("o_orderpriority").alias(SCENARIO), F.year("o_orderdate").alias("t"),
-        )
-        if wanted & set(CUSTOMER_DIMS):
-            customers = load("customer").select(
-                "c_custkey", "c_nationkey", F.col("c_mktsegment").alias("GHG")
-            )
+    by_order = wanted & {*ORDER_DIMS, *CUSTOMER_DIMS}
+    by_part = wanted & set(PART_DIMS)
+    by_supplier = wanted & set(SUPPLIER_DIMS)
+
+    def cut_to(name: str, keys: Sequence[str], expressions: Mapping[str, str]) -> DataFrame:
+        kept = [f"{sql} as {col}" for col, sql in expressions.items() if col in wanted]
+        return table(spark, sf_dir, name).selectExpr(*keys, *kept)
+
+    keys = {"l_orderkey": by_order, "l_partkey": by_part, "l_suppkey": by_supplier}
+    out = cut_to("lineitem", [key for key, used in keys.items() if used], LINE_COLUMNS)
+    if by_order:
+        by_customer = wanted & set(CUSTOMER_DIMS)
+        order_keys = ["o_orderkey", "o_custkey"] if by_customer else ["o_orderkey"]
+        orders = cut_to("orders", order_keys, ORDER_COLUMNS)
+        if by_customer:
+            customers = cut_to("customer", ["c_custkey", "c_nationkey"], {"GHG": "c_mktsegment"})
             if "R" in wanted:
                 customers = _located(spark, sf_dir, customers, "c_nationkey", "R")
             orders = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
         out = out.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    if wanted & set(PART_DIMS):
-        parts = load("part").select(
-            "p_partkey", F.col("p_type").alias("G"), F.col("p_brand").alias("ne")
-        )
+    if by_part:
+        parts = cut_to("part", ["p_partkey"], PART_COLUMNS)
         out = out.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    if wanted & set(SUPPLIER_DIMS):
-        suppliers = load("supplier").select("s_suppkey", "s_nationkey")
+    if by_supplier:
+        suppliers = cut_to("supplier", ["s_suppkey", "s_nationkey"], {})
         suppliers = _located(spark, sf_dir, suppliers, "s_nationkey", "RR")
         out = out.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     return out.select(*columns)
@@ -125,7 +131,7 @@ def _located(
 ) -> DataFrame:
     """Customers or suppliers with the name of their region."""
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    regions = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias(name))
+    regions = table(spark, sf_dir, "region").selectExpr("r_regionkey", f"r_name as {name}")
     return (
         party.join(nations, F.col(nation_key) == F.col("n_nationkey"))
         .join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
