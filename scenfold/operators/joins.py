@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
+from itertools import chain
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenfold.functions.literals import literal_frame
@@ -34,12 +35,27 @@ def left_on(
     return df.join(other, list(keys), "left")
 
 
+def parts_of(
+    df: DataFrame,
+    labels: Sequence[tuple[str, Column]],
+    keys: Sequence[str] = (SCENARIO, TIME),
+    value: str = VALUE,
+) -> DataFrame:
+    """Rows of one frame as rows of several parts: each row once per part whose test it passes.
+
+    Serves ``side_by_side(shared=...)``: parts that come from the same symbol then share its scan.
+    """
+    names = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in labels]))
+    return df.select(*keys, F.col(value).cast("double").alias(value), F.explode(names).alias(_PART))
+
+
 def side_by_side(
     parts: Mapping[str, DataFrame],
     keys: Sequence[str] = (SCENARIO, TIME),
     value: str = VALUE,
     *,
     averaged: Collection[str] = (),
+    shared: Mapping[tuple[str, ...], DataFrame] | None = None,
 ) -> DataFrame:
     """One column per part, aligned on ``keys``: JOIN-4..7 without a join.
 
@@ -47,15 +63,16 @@ def side_by_side(
     ``averaged``) in a single aggregate. Parts need no aggregation of their own, so N parts cost
     one shuffle with map-side combine instead of N shuffles and N-1 joins, and a hot key cannot
     skew a join. A part without rows for a key is NULL there; a sum of only missing values is 0.
+    ``shared`` adds frames from ``parts_of``, under the names of the parts they hold.
     """
-    stacked_value = F.col(value).cast("double").alias(value)
+    shared = shared or {}
+    own_value = F.col(value).cast("double").alias(value)
     stacked = union_all(
-        *[
-            df.select(*keys, stacked_value, F.lit(name).alias(_PART)) for name, df in parts.items()
-        ]
+        *[df.select(*keys, own_value, F.lit(name).alias(_PART)) for name, df in parts.items()],
+        *shared.values(),
     )
     columns = []
-    for name in parts:
+    for name in [*parts, *chain.from_iterable(shared)]:
         mine = F.col(_PART) == F.lit(name)
         own = F.when(mine, F.col(value))
         if name in averaged:

@@ -7,6 +7,7 @@ Every quantity an intensity needs is a (Scenario, t) part; all parts go through
 from __future__ import annotations
 
 from collections.abc import Mapping
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from scenfold.metadata import DEFAULT, ModelMetadata
 from scenfold.model import SCENARIO, TIME, VALUE, YEAR
 from scenfold.operators.aggregates import factor_mean
 from scenfold.operators.filters import Value, eq, filter_dims, horizon as until, is_open
-from scenfold.operators.joins import side_by_side
+from scenfold.operators.joins import parts_of, side_by_side
 from scenfold.plans.mixes import liquids_mix
 from scenfold.plans.parameters import grt_rows
 
@@ -32,22 +33,47 @@ PARAMETER_PARTS = (
 LIQUIDS_REGION = "USA"
 
 
+def _parameters(
+    catalog: Mapping[str, DataFrame], attr: str, sectors: Mapping[str, str], region: Value,
+    horizon: int, meta: ModelMetadata,
+) -> DataFrame:
+    """Rows of one emission parameter for several parts (part -> sector), from one scan."""
+    rows = grt_rows(catalog, attr, list(dict.fromkeys(sectors.values())), region, horizon, meta=meta)
+    return parts_of(rows, [(part, F.col("G") == sector) for part, sector in sectors.items()])
+
+
 def _scope2_parts(
     catalog: Mapping[str, DataFrame], sector: str, region: Value, horizon: int,
     meta: ModelMetadata, carrier: str,
 ) -> dict[str, DataFrame]:
+    """Output of electricity and its use by a sector. Its emissions come with the other sectors'."""
     use = filter_dims(until(catalog["ei_t"], horizon), e=carrier, G=sector, R=region)
     return {
-        "elec_emissions": grt_rows(catalog, "sco2", meta.electricity, region, horizon, meta=meta),
         "elec_output": grt_rows(catalog, "agy", meta.electricity, region, horizon, meta=meta),
         "elec_use": use,
     }
 
 
-def _aligned(parts: Mapping[str, DataFrame], region: Value) -> DataFrame:
-    """All parts by scenario and year. For one region, duplicate parameter rows are averaged."""
-    averaged = [] if is_open(region) else [name for name in parts if name in PARAMETER_PARTS]
-    return side_by_side(parts, averaged=averaged)
+def _aligned(
+    catalog: Mapping[str, DataFrame],
+    parts: Mapping[str, DataFrame],
+    emitted: Mapping[str, Mapping[str, str]],
+    region: Value,
+    horizon: int,
+    meta: ModelMetadata,
+) -> DataFrame:
+    """All parts by scenario and year. For one region, duplicate parameter rows are averaged.
+
+    ``emitted`` lists, per emission symbol, the parts it gives and their sectors.
+    """
+    shared = {
+        tuple(sectors): _parameters(catalog, attr, sectors, region, horizon, meta)
+        for attr, sectors in emitted.items()
+        if sectors
+    }
+    names = [*parts, *chain.from_iterable(shared)]
+    averaged = [] if is_open(region) else [name for name in names if name in PARAMETER_PARTS]
+    return side_by_side(parts, averaged=averaged, shared=shared)
 
 
 def _scope2() -> Column:
@@ -65,8 +91,9 @@ def scope2(
 ) -> DataFrame:
     """N-3: emissions of the electricity a sector uses, as intensity of supply times use."""
     parts = _scope2_parts(catalog, sector, region, horizon, meta, carrier or meta.electricity)
+    emitted = {"sco2": {"elec_emissions": meta.electricity}}
     return (
-        _aligned(parts, region)
+        _aligned(catalog, parts, emitted, region, horizon, meta)
         .filter(F.col("elec_emissions").isNotNull())
         .select(SCENARIO, TIME, _scope2().alias(VALUE))
     )
@@ -162,12 +189,11 @@ def intensity(
     if with_scope3 and sector != meta.refined_oil and not any_sector:
         raise ValueError("scope 3 is defined for refined oil; pass any_sector=True to force it")
     last = min(horizon, LAST_YEAR)
-    value = lambda symbol, g: grt_rows(catalog, symbol, g, region, last, meta=meta)
-
-    parts = {"direct": value("sco2", sector), "output": value("agy_bt", sector)}
+    parts = {"output": grt_rows(catalog, "agy_bt", sector, region, last, meta=meta)}
+    direct, process_co2 = {"direct": sector}, {}
     scope1 = F.col("direct")
     if process and sector in meta.process_sectors:
-        parts["process"] = value("etotco2", sector)
+        process_co2["process"] = sector
         scope1 = scope1 + zero_if_null("process")
     if ghg:
         parts["non_co2"] = non_co2(catalog, sector, region, last, meta=meta)
@@ -178,10 +204,10 @@ def intensity(
         parts.update(
             _scope2_parts(catalog, sector, region, last, meta, carrier or meta.electricity)
         )
+        direct["elec_emissions"] = meta.electricity
         scope12 = scope1 + _scope2()
         if sector == meta.refined_oil:
-            parts["crude_direct"] = value("sco2", meta.crude_oil)
-            parts["crude_process"] = value("etotco2", meta.crude_oil)
+            direct["crude_direct"] = process_co2["crude_process"] = meta.crude_oil
             scope12 = scope12 + F.col("crude_direct") + F.col("crude_process")
         emissions["scope12"] = scope12
 
@@ -194,7 +220,8 @@ def intensity(
     if with_scope3:
         parts["burning"] = liquids_emission_factor(catalog, liquids_region, meta=meta)
 
-    aligned = _aligned(parts, region).filter(F.col("output").isNotNull())
+    emitted = {"sco2": direct, "etotco2": process_co2}
+    aligned = _aligned(catalog, parts, emitted, region, last, meta).filter(F.col("output").isNotNull())
     df = sector_intensity(aligned, emissions, catalog, sector, region, meta=meta)
     if with_scope3:
         base = "scope12" if with_scope2 else "scope1"

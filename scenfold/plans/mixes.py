@@ -18,7 +18,7 @@ from scenfold.model import SCENARIO, TIME, VALUE, YEAR
 from scenfold.operators.aggregates import agg_mean, agg_sum
 from scenfold.operators.compare import row_share
 from scenfold.operators.filters import Value, eq, filter_dims, horizon as until, isin
-from scenfold.operators.joins import convert, side_by_side
+from scenfold.operators.joins import convert, parts_of, side_by_side
 from scenfold.operators.projections import relabel, split
 from scenfold.plans.parameters import grt_rows, is_averaged
 
@@ -124,14 +124,17 @@ def _steel_frame(
     catalog: Mapping[str, DataFrame], region: Value, horizon: int,
     extra: Mapping[str, DataFrame], meta: ModelMetadata,
 ) -> DataFrame:
-    """Steel output and carrier energy side by side, from one aggregate."""
-    parts = {"output": grt_rows(catalog, "agy", meta.steel, region, horizon, meta=meta)}
+    """Steel output and carrier energy side by side, from one aggregate and one energy scan."""
+    output = grt_rows(catalog, "agy", meta.steel, region, horizon, meta=meta)
     energy = filter_dims(
         until(catalog["ee_sect"], horizon), G=meta.steel, R=region, e=list(meta.steel_carriers)
-    ).select(SCENARIO, TIME, lookup("e", meta.steel_carriers).alias("e"), VALUE)
-    parts.update({carrier: eq(energy, "e", carrier) for carrier in CARRIERS})
+    )
+    carrier = lookup("e", meta.steel_carriers)
+    carriers = parts_of(energy, [(name, carrier == name) for name in CARRIERS])
     averaged = ["output"] if is_averaged("agy", region, meta=meta) else []
-    return side_by_side({**parts, **extra}, averaged=averaged)
+    return side_by_side(
+        {"output": output, **extra}, averaged=averaged, shared={CARRIERS: carriers}
+    )
 
 
 def _with_intensity(df: DataFrame) -> DataFrame:

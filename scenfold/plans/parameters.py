@@ -32,8 +32,8 @@ def grt_rows(
 ) -> DataFrame:
     """The rows N-1 aggregates: filtered, scaled, and divided by the region's tonnage factor."""
     df = filter_dims(until(catalog[attr], horizon), G=sector, R=region)
-    df = df.select(SCENARIO, TIME, "R", scale(VALUE, meta.converter(attr)).alias(VALUE))
-    if attr in OUTPUT_SYMBOLS and sector in meta.conversion:
+    df = df.select(SCENARIO, TIME, "G", "R", scale(VALUE, meta.converter(attr)).alias(VALUE))
+    if attr in OUTPUT_SYMBOLS and isinstance(sector, str) and sector in meta.conversion:
         df = convert(df, meta.conversion[sector], strict=strict)
     return df
 

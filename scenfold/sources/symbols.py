@@ -68,18 +68,21 @@ def unstamped(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in STAMPS]
 
 
-def is_blank(df: DataFrame) -> bool:
-    """No row with any non-missing dimension or value. Stops at the first such row."""
-    filled = [F.col(f"`{c}`").isNotNull() for c in unstamped(df)]
-    condition = F.lit(False)
-    for term in filled:
-        condition = condition | term
-    return df.filter(condition).isEmpty()
+def has_rows(df: DataFrame) -> DataFrame:
+    """At most one row, from the part if any of its dimensions or values is not missing."""
+    filled = F.lit(False)
+    for col in unstamped(df):
+        filled = filled | F.col(f"`{col}`").isNotNull()
+    return df.filter(filled).limit(1)
 
 
 def drop_empty(parts: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """SRC-4: leave out scenario parts without data."""
-    return {name: df for name, df in parts.items() if not is_blank(df)}
+    """SRC-4: leave out scenario parts without data. One job probes all parts at once."""
+    probes = [has_rows(df).select(F.lit(name).alias("name")) for name, df in parts.items()]
+    if not probes:
+        return {}
+    found = {row["name"] for row in union_all(*probes).collect()}
+    return {name: df for name, df in parts.items() if name in found}
 
 
 def same_schema(parts: Sequence[DataFrame]) -> bool:
