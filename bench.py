@@ -50,6 +50,8 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    for _ in range(3):  # the first queries of a session pay for class loading and compilation
+        seconds(spark, names[0], sf_dir)
     timings = {}
     for name in names:
         seconds(spark, name, sf_dir)

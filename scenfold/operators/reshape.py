@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scenfold.model import VALUE
 from scenfold.operators.aggregates import total
+from scenfold.sources.storage import cut
 
 #: Most columns a pivot without explicit values may create.
 MAX_PIVOT_VALUES = 1000
@@ -66,7 +67,11 @@ def pivot_auto(
     values: Sequence[str] | None = None,
     value: str = VALUE,
 ) -> DataFrame:
-    """RSH-3: pivot on the automatically chosen column, or return ``df`` when none varies."""
+    """RSH-3: pivot on the automatically chosen column, or return the frame when none varies.
+
+    The choice reads the frame, so it is computed once and checkpointed; it is an aggregate.
+    """
+    df = cut(df)
     col = auto_pivot_column(df, candidates)
     return df if col is None else pivot_sum(df, keys, col, values, value)
 

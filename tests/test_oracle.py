@@ -1,4 +1,6 @@
-"""Every registered query against its SQL in DuckDB, on the smallest tables."""
+"""Every registered query against its SQL in DuckDB, on the smallest tables, and its plan."""
+
+import re
 
 import duckdb
 import pytest
@@ -28,6 +30,9 @@ def test_every_query_has_an_oracle():
 @pytest.mark.parametrize("name", list(entry_module.queries()))
 def test_matches_oracle(spark, duck, name):
     df = entry_module.queries()[name](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("FileScan.*lineitem", plan)) <= 1
+    assert not re.search("NestedLoop|Cartesian|Python", plan)
     columns = sorted(df.columns)
     got = [tuple(r) for r in df.select(*[f"`{c}`" for c in columns]).collect()]
     result = duck.execute(entry_module.oracle_sql()[name])

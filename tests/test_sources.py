@@ -40,7 +40,8 @@ def test_load(spark, tmp_path):
     write_run(spark, two, "uneven", "G string, R string, Value double", ("X", "u", 1.0))
     write_run(spark, one, "blank", "G string, Value double", (None, None), (None, float("nan")))
     write_run(spark, one, "narrow", "Value double", (1.0,))
-    write_run(spark, two, "data", "a string, b string, c string, v double", ("GDP", "2050", "u", 7.0), ("GDP", "2150", "u", 7.0))
+    table = "a string, b string, c string, v double"
+    write_run(spark, two, "data", table, ("GDP", "2050", "u", 7.0), ("GDP", "2150", "u", 7.0))
     write_run(spark, two, "text", agy, ("Y", "u", "2040", 4.0), fmt="csv")
 
     catalog = load_scenarios(
