@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, imatch, mixing, rules, sharding
+from scenfold.sources.storage import checkpoint_dir
+
+from . import classifier, coder, imatch, mixing, packing, rules, secrets, sharding, simhash
 from .common import documents, labels
+from .tokens import public_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,12 +24,42 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_simhash(spark, sf_dir):
+    return simhash.near_duplicates(documents(spark, sf_dir)).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
 @query
 def op2_quality_rules(spark, sf_dir):
     good = labels(spark, sf_dir).filter("quality = 1").select(F.col("doc_id").alias("trusted_id"))
     return rules.judged(documents(spark, sf_dir), good)
 
 
+@query
+def op3_packing(spark, sf_dir):
+    digest = {"ids_crc32": F.crc32("ids")}
+    return packing.packed(
+        documents(spark, sf_dir), public_path("byte_bpe_50k.json"), digest
+    ).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op4_token_coder(spark, sf_dir):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    coder.write_blocks(documents(spark, sf_dir), path, public_path("word_bpe_49k.json"), end_id=2)
+    return coder.read_blocks(spark, path, {"ids_crc32": F.crc32("ids")})
+
+
+@query
+def op6_secrets(spark, sf_dir):
+    return secrets.scanned(documents(spark, sf_dir)).select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2("base_spans", 256).alias("base_sha256"), "spans",
+    )
+
+
 @query
 def op7_imatch(spark, sf_dir):
     def joined(parts: str):
