@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scenfold.sources.storage import checkpoint_dir
 
-from . import classifier, coder, imatch, mixing, packing, rules, secrets, sharding, simhash
+from . import classifier, coder, hmm, imatch, mixing, packing, rules, secrets, sharding, simhash
 from .common import documents, labels
 from .tokens import public_path
 
@@ -52,6 +52,11 @@ def op4_token_coder(spark, sf_dir):
     return coder.read_blocks(spark, path, {"ids_crc32": F.crc32("ids")})
 
 
+@query
+def op5_language_model(spark, sf_dir):
+    return hmm.scored(documents(spark, sf_dir))
+
+
 @query
 def op6_secrets(spark, sf_dir):
     return secrets.scanned(documents(spark, sf_dir)).select(
