@@ -130,7 +130,8 @@ class Model:
         ids = self.p1.copy()
         other = np.nonzero(value >= self.end1)[0]
         inside = value[other] - self.end1[other] + 1
-        ids[other] = self.id_at[((inside << FREQUENCY_BITS) - 1) // self.rest[other]]
+        place = ((inside << FREQUENCY_BITS) - 1) // self.rest[other]
+        ids[other] = self.id_at[np.minimum(place, FREQUENCY_TOTAL - 1)]
         hit = np.nonzero(value < self.end2)[0]
         ids[hit] = self.p2[hit]
         return ids
@@ -253,7 +254,7 @@ def decode_block(block: bytes) -> np.ndarray:
 
     def read(at: np.ndarray) -> None:
         there = reading[at] < ends[at]
-        word = np.where(there, words[reading[at]], np.uint64(0))
+        word = np.where(there, words[np.minimum(reading[at], len(words) - 1)], np.uint64(0))
         code[at] = code[at] << np.uint64(16) | word
         reading[at] += 1
 
