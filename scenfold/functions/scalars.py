@@ -36,14 +36,16 @@ def safe_div(a: Column | str, b: Column | str) -> Column:
 
 
 def to_year(col: Column | str, dtype: DataType | None = None) -> Column:
-    """SCA-3: label to integer year, NULL where it is not a number.
+    """SCA-3: label or number to integer year, NULL where it is not a whole number.
 
-    An integer column is returned untouched so that range filters still reach the scan.
+    Labels may be written as decimals (``2020.0``). An integer column is returned untouched so that
+    range filters still reach the scan.
     """
     col = F.col(col) if isinstance(col, str) else col
     if isinstance(dtype, (IntegerType, LongType, ShortType)):
         return col
-    return col.try_cast("int")
+    number = col.try_cast("double")
+    return F.when(number == F.rint(number), number.try_cast("int"))
 
 
 def lookup(col: Column | str, mapping: Mapping[str, Any]) -> Column:

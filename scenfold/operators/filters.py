@@ -7,19 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenfold.functions.literals import literal_frame
 from scenfold.functions.scalars import to_year
 from scenfold.model import TIME
 
 #: Values of a dimension argument that mean "no filter".
 WILDCARDS = ("global", "all", None)
 
-#: Longest list written into the plan as an IN predicate; longer ones become a semi join.
-MAX_IN_LIST = 1000
-
-#: Longest list whose literal frame is hinted for broadcast; beyond it Catalyst chooses.
-MAX_BROADCAST_LIST = 1_000_000
-
 Value = str | Sequence[str] | None
 
 
@@ -32,20 +25,22 @@ def is_open(value: Value) -> bool:
     return value is None or (isinstance(value, str) and value in WILDCARDS)
 
 
+def one_or_many(value: Value) -> Value:
+    """A dimension argument in one spelling: ``all`` for any wildcard, the label for a list of one."""
+    if is_open(value):
+        return "all"
+    wanted = list(dict.fromkeys(as_list(value)))
+    return wanted[0] if len(wanted) == 1 else wanted
+
+
 def eq(df: DataFrame, col: str, value: str) -> DataFrame:
     """FIL-1: one label of a dimension."""
     return df.filter(F.col(col) == F.lit(value))
 
 
 def isin(df: DataFrame, col: str, values: Sequence[str]) -> DataFrame:
-    """FIL-2: membership. Long lists are joined instead of inlined."""
-    values = list(values)
-    if len(values) <= MAX_IN_LIST:
-        return df.filter(F.col(col).isin(values))
-    wanted = literal_frame(df.sparkSession, f"{col} string", [(v,) for v in dict.fromkeys(values)])
-    if len(values) <= MAX_BROADCAST_LIST:
-        wanted = F.broadcast(wanted)
-    return df.join(wanted, col, "left_semi")
+    """FIL-2: membership, as one predicate (a hash set) however long the list is."""
+    return df.filter(F.col(col).isin(list(values)))
 
 
 def horizon(df: DataFrame, limit: int, col: str = TIME) -> DataFrame:
@@ -56,7 +51,7 @@ def horizon(df: DataFrame, limit: int, col: str = TIME) -> DataFrame:
 def time_range(df: DataFrame, col: str, start: int, end: int) -> DataFrame:
     """SRC-8: coerce the year to integer and keep ``start..end``, both included."""
     year = to_year(col, df.schema[col].dataType)
-    return df.withColumn(col, year.cast("int")).filter(year.between(start, end))
+    return df.filter(year.between(start, end)).withColumn(col, year.cast("int"))
 
 
 def years(df: DataFrame, wanted: Sequence[int] | None, col: str = TIME) -> DataFrame:

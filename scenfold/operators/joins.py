@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Mapping, Sequence
-from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +16,14 @@ _PART = "__part"
 
 
 def union_all(*frames: DataFrame) -> DataFrame:
-    """SET-1: stack frames by column name; a column missing in one is NULL there."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    """SET-1: stack frames by column name; a column missing in one is NULL there.
+
+    Halves are stacked first, so the plan of many frames is flat enough to analyse.
+    """
+    if len(frames) == 1:
+        return frames[0]
+    half = len(frames) // 2
+    return union_all(*frames[:half]).unionByName(union_all(*frames[half:]), allowMissingColumns=True)
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -155,8 +160,9 @@ def with_factor(
 ) -> DataFrame:
     """JOIN-3: attach a factor per key, with an optional default where there is none.
 
-    No broadcast hint: the factor frame is data, so Catalyst broadcasts it by its size.
+    A key with several factors has the least of them (``first_by``), so no row of ``df`` is
+    multiplied. No broadcast hint: the factor frame is data, so Catalyst broadcasts it by its size.
     """
-    table = factors.select(*keys, F.col(value).alias(name))
+    table = first_by(factors.select(*keys, F.col(value).alias(name)), keys, name)
     out = df.join(table, list(keys), "left")
     return out if default is None else out.withColumn(name, F.coalesce(name, F.lit(default)))

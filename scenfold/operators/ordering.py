@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenfold.model import SCENARIO, TIME, VALUE
@@ -24,11 +24,19 @@ def reverse_order(df: DataFrame, *keys: str) -> DataFrame:
     return df.orderBy(*[F.desc(k) for k in keys])
 
 
-def by_registry(df: DataFrame, registry: DataFrame, time: str = TIME) -> DataFrame:
-    """SRT-4: scenarios in the order they were registered, then by year."""
-    ordered = F.broadcast(registry.select(F.col("scenario").alias("__s"), F.col("ord").alias("__ord")))
-    return (
-        df.join(ordered, F.col(SCENARIO) == F.col("__s"), "left")
-        .orderBy("__ord", time)
-        .drop("__s", "__ord")
-    )
+def by_registry(
+    df: DataFrame, registry: DataFrame, time: str = TIME, *, ranks: bool = False
+) -> DataFrame:
+    """SRT-4: scenarios in the order they were registered, then by year.
+
+    ``ranks`` adds the scenario's place in the registry and the row's within the scenario, as
+    ``ord`` and ``position``. The registry joins by its size, without a hint.
+    """
+    ordered = registry.select(F.col("scenario").alias("__s"), F.col("ord").alias("__ord"))
+    placed = df.join(ordered, F.col(SCENARIO) == F.col("__s"), "left")
+    if ranks:
+        inside = Window.partitionBy(SCENARIO).orderBy(time)
+        placed = placed.withColumns(
+            {"ord": F.col("__ord"), "position": F.row_number().over(inside)}
+        )
+    return placed.orderBy("__ord", time).drop("__s", "__ord")

@@ -7,19 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenfold.model import VALUE
+from scenfold.model import SCENARIO, VALUE, YEAR
 from scenfold.operators.aggregates import total
 from scenfold.sources.storage import cut
 
-#: Most columns a pivot without explicit values may create.
-MAX_PIVOT_VALUES = 1000
-
-
 def pivot_values(df: DataFrame, col: str) -> list[str]:
-    """The sorted labels of a pivot column, from a job. Refuses columns that are not labels."""
-    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(MAX_PIVOT_VALUES + 1).collect()
-    if len(rows) > MAX_PIVOT_VALUES:
-        raise ValueError(f"{col} has more than {MAX_PIVOT_VALUES} labels; pass the pivot values")
+    """The sorted labels of a pivot column, from a job.
+
+    Spark's own setting ``spark.sql.pivotMaxValues`` says how many columns such a pivot may have.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
+    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{col} has more labels than spark.sql.pivotMaxValues ({most})")
     return sorted(r[0] for r in rows)
 
 
@@ -47,6 +47,14 @@ def pivot_mean(
     return df.groupBy(*keys).pivot(col, values).agg(F.avg(value))
 
 
+def widened(
+    df: DataFrame, wide: bool, col: str, values: Sequence[str] | None = None,
+    keys: Sequence[str] = (SCENARIO, YEAR),
+) -> DataFrame:
+    """The last step of an analysis: one column per label of ``col`` if ``wide``, else as it is."""
+    return pivot_sum(df, keys, col, values) if wide else df
+
+
 def auto_pivot_column(df: DataFrame, candidates: Sequence[str] = ("e", "G", "R")) -> str | None:
     """RSH-3: the first candidate present with more than one label.
 

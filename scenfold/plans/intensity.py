@@ -17,13 +17,10 @@ from scenfold.metadata import DEFAULT, ModelMetadata
 from scenfold.model import SCENARIO, TIME, VALUE, YEAR
 from scenfold.operators.aggregates import factor_mean
 from scenfold.operators.filters import Value, eq, filter_dims, horizon as until, is_open
-from scenfold.operators.joins import parts_of, side_by_side
+from scenfold.operators.joins import first_by, parts_of, side_by_side
 from scenfold.plans.mixes import liquids_mix
 from scenfold.plans.parameters import grt_rows
 
-#: Years past this are never part of an intensity.
-LAST_YEAR = 2100
-
 #: Parts that are model parameters of one sector (N-1).
 PARAMETER_PARTS = (
     "direct", "process", "output", "elec_emissions", "elec_output", "crude_direct", "crude_process",
@@ -116,8 +113,8 @@ def energy_factor(
     catalog: Mapping[str, DataFrame], sector: str, region: Value = "global"
 ) -> DataFrame:
     """Energy per output value of a sector, per scenario; the mean over regions when global."""
-    factors = filter_dims(eq(catalog["ejoe"], "G", sector), R=region)
-    return factor_mean(factors, [SCENARIO])
+    factors = filter_dims(eq(catalog["ejoe"], "G", sector), R=region).select(SCENARIO, "R", VALUE)
+    return factor_mean(first_by(factors, [SCENARIO, "R"], VALUE), [SCENARIO])
 
 
 def sector_intensity(
@@ -177,6 +174,7 @@ def intensity(
     carrier: str | None = None,
     liquids_region: Value = LIQUIDS_REGION,
     any_sector: bool = False,
+    last_year: int = 2100,
     meta: ModelMetadata = DEFAULT,
 ) -> DataFrame:
     """N-5..N-8: emission intensity by scenario and year, one column per scope asked for.
@@ -184,11 +182,12 @@ def intensity(
     Columns are ``scope1`` and, when asked for, ``scope12`` and ``scope123``. Process and non-CO2
     emissions count as 0 where absent; a missing scope 2 or 3 addition makes that scope NULL.
     Electricity needs the ``reporting`` table for total generation. Scope 3 is the burning of the
-    sold liquid fuel: other sectors than refining are refused unless ``any_sector``.
+    sold liquid fuel: other sectors than refining are refused unless ``any_sector``. Years past
+    ``last_year`` are no part of an intensity, whatever the horizon.
     """
     if with_scope3 and sector != meta.refined_oil and not any_sector:
         raise ValueError("scope 3 is defined for refined oil; pass any_sector=True to force it")
-    last = min(horizon, LAST_YEAR)
+    last = min(horizon, last_year)
     parts = {"output": grt_rows(catalog, "agy_bt", sector, region, last, meta=meta)}
     direct, process_co2 = {"direct": sector}, {}
     scope1 = F.col("direct")

@@ -17,9 +17,12 @@ from scenfold.metadata import ETHANOL_BLEND, TRANSPORT_SPLIT, DEFAULT, ModelMeta
 from scenfold.model import SCENARIO, TIME, VALUE, YEAR
 from scenfold.operators.aggregates import agg_mean, agg_sum
 from scenfold.operators.compare import row_share
-from scenfold.operators.filters import Value, eq, filter_dims, horizon as until, isin
+from scenfold.operators.filters import (
+    Value, eq, filter_dims, horizon as until, isin, one_or_many,
+)
 from scenfold.operators.joins import convert, parts_of, side_by_side
 from scenfold.operators.projections import relabel, split
+from scenfold.operators.reshape import widened
 from scenfold.plans.parameters import grt_rows, is_averaged
 
 #: Optional steel symbols and the technology they report.
@@ -33,8 +36,12 @@ def technology_mix(
     region: Value = "global",
     *,
     strict: bool = False,
+    wide: bool = False,
 ) -> DataFrame:
-    """Rows of the given technologies, converted by region and summed by their new label."""
+    """Rows of the given technologies, converted by region and summed by their new label.
+
+    ``wide`` gives one column per label.
+    """
     df = isin(filter_dims(df, R=region), "tech", list(techs))
     df = relabel(df, "tech", techs)
     if factors is not None:
@@ -42,25 +49,30 @@ def technology_mix(
     df = df.select(
         SCENARIO, F.col(TIME).alias(YEAR), F.col("tech").alias("Technology"), VALUE
     )
-    return agg_sum(df, [SCENARIO, YEAR, "Technology"])
+    mix = agg_sum(df, [SCENARIO, YEAR, "Technology"])
+    return widened(mix, wide, "Technology", list(dict.fromkeys(techs.values())))
 
 
 def cement_mix(
     catalog: Mapping[str, DataFrame], region: Value = "global", *,
-    symbol: str = "nmm_out", strict: bool = False, meta: ModelMetadata = DEFAULT,
+    symbol: str = "nmm_out", strict: bool = False, wide: bool = False, meta: ModelMetadata = DEFAULT,
 ) -> DataFrame:
     """N-30: cement in Mt with and without capture."""
     factors = meta.conversion[meta.cement]
-    return technology_mix(catalog[symbol], meta.cement_techs, factors, region, strict=strict)
+    return technology_mix(
+        catalog[symbol], meta.cement_techs, factors, region, strict=strict, wide=wide
+    )
 
 
 def clinker_mix(
     catalog: Mapping[str, DataFrame], region: Value = "global", *,
-    symbol: str = "nmm_out", strict: bool = False, meta: ModelMetadata = DEFAULT,
+    symbol: str = "nmm_out", strict: bool = False, wide: bool = False, meta: ModelMetadata = DEFAULT,
 ) -> DataFrame:
     """N-33: clinker, fly ash and steel slags in Mt."""
     factors = meta.conversion[meta.cement]
-    return technology_mix(catalog[symbol], meta.clinker_techs, factors, region, strict=strict)
+    return technology_mix(
+        catalog[symbol], meta.clinker_techs, factors, region, strict=strict, wide=wide
+    )
 
 
 def fuel_shares(
@@ -85,11 +97,13 @@ def liquids_mix(
     region: Value = "global",
     *,
     biofuel_agg: str = "sum",
+    wide: bool = False,
     meta: ModelMetadata = DEFAULT,
 ) -> DataFrame:
     """N-32: liquids by fuel: fossil liquids over N-31 shares, plus both biofuel generations.
 
-    ``biofuel_agg='mean'`` averages the two generations instead of adding them.
+    ``biofuel_agg='mean'`` averages the two generations instead of adding them. ``wide`` gives one
+    column per fuel.
     """
     rows = isin(filter_dims(catalog["liquids"], R=region), "tech", list(meta.liquid_techs))
     liquids = agg_sum(rows, [SCENARIO, TIME, "tech"])
@@ -113,11 +127,12 @@ def liquids_mix(
         F.when(fossil, F.col("fuel")).otherwise(F.col("kind")).alias("Technology"),
         F.when(fossil, product(VALUE, "share")).otherwise(F.col(VALUE)).alias(VALUE),
     ).filter(F.col("Technology").isNotNull())
-    if region == meta.ethanol_region:
+    if one_or_many(region) == meta.ethanol_region:
         fuels = split(fuels, "Technology", ETHANOL_BLEND)
     combine = agg_mean if biofuel_agg == "mean" else agg_sum
     fuels = fuels.withColumnRenamed(TIME, YEAR)
-    return combine(fuels, [SCENARIO, YEAR, "Technology"])
+    fuels = combine(fuels, [SCENARIO, YEAR, "Technology"])
+    return widened(fuels, wide, "Technology")
 
 
 def _steel_frame(

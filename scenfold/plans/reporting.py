@@ -15,7 +15,7 @@ from scenfold.model import SCENARIO, VALUE, YEAR
 from scenfold.operators.aggregates import agg_mean, agg_sum
 from scenfold.operators.filters import Value, eq, filter_dims, horizon as until, is_open, isin
 from scenfold.operators.projections import relabel
-from scenfold.operators.reshape import pivot_sum
+from scenfold.operators.reshape import pivot_sum, widened
 
 
 def attribute_profile(
@@ -79,18 +79,21 @@ def emission_price(
 
 def gdp(
     table: DataFrame, by: str = "scenario", region: Value = "global", horizon: int = 2100, *,
-    meta: ModelMetadata = DEFAULT,
+    wide: bool = False, values: Sequence[str] | None = None, meta: ModelMetadata = DEFAULT,
 ) -> DataFrame:
     """N-19, N-20: GDP in trillion dollars by scenario, or by scenario and region name.
 
-    ``region`` applies to the first form only.
+    ``region`` applies to the first form only. ``wide`` gives one column per scenario, or per region
+    name; ``values`` are their labels.
     """
     df = eq(until(table, horizon, YEAR), "Attribute", meta.gdp_attribute)
     df = df.withColumn(VALUE, scale(VALUE, 1 / 1000))
     if by == "scenario":
-        return agg_sum(filter_dims(df, Region=region), [SCENARIO, YEAR])
+        df = agg_sum(filter_dims(df, Region=region), [SCENARIO, YEAR])
+        return widened(df, wide, SCENARIO, values, [YEAR])
     if by == "region":
-        return relabel(agg_sum(df, [SCENARIO, YEAR, "Region"]), "Region", meta.region_names)
+        df = relabel(agg_sum(df, [SCENARIO, YEAR, "Region"]), "Region", meta.region_names)
+        return widened(df, wide, "Region", values)
     raise ValueError("by must be 'scenario' or 'region'")
 
 

@@ -15,8 +15,9 @@ from scenfold.metadata import DEFAULT, ModelMetadata
 from scenfold.model import SCENARIO, TIME, VALUE, YEAR
 from scenfold.operators.aggregates import agg_sum
 from scenfold.operators.compare import REFERENCE, rebase, reldiff, row_share, scenario_diff
-from scenfold.operators.filters import eq, horizon as until
+from scenfold.operators.filters import Value, as_list, eq, horizon as until, is_open
 from scenfold.operators.projections import relabel
+from scenfold.operators.reshape import widened
 from scenfold.sources.storage import cut
 
 FLOWS = ("imports", "exports")
@@ -28,18 +29,23 @@ def _flows(df: DataFrame, sides: Sequence[Column]) -> DataFrame:
     return df.select(SCENARIO, YEAR, side.alias("__side")).select(SCENARIO, YEAR, "__side.*")
 
 
-def _side(own: str, partner: str, region: str, sign: int) -> Column:
+def _among(col: str, region: Value) -> Column:
+    """Is the column one of the regions? A wildcard means any."""
+    return F.col(col).isNotNull() if is_open(region) else F.col(col).isin(as_list(region))
+
+
+def _side(own: str, partner: str, region: Value, sign: int) -> Column:
     """The row as seen from ``region`` in column ``own``; NULL when it does not take part."""
     value = F.col(VALUE) if sign > 0 else -F.col(VALUE)
     return F.when(
-        F.col(own) == region, F.struct(F.col(partner).alias("Region"), value.alias(VALUE))
+        _among(own, region), F.struct(F.col(partner).alias("Region"), value.alias(VALUE))
     )
 
 
 def region_flows(
     catalog: Mapping[str, DataFrame],
     sector: str,
-    region: str,
+    region: Value,
     flow: str,
     *,
     net: bool = False,
@@ -47,12 +53,12 @@ def region_flows(
 ) -> DataFrame:
     """A region's rows in one direction, or signed in both, as (Scenario, Year, Region, Value)."""
     if flow not in FLOWS:
-        raise ValueError("flow should be either 'imports' or 'exports'")
+        raise ValueError(f"unknown flow {flow!r}, choose from {FLOWS}")
     df = eq(until(catalog["trad_t"], horizon), "G", sector).withColumnRenamed(TIME, YEAR)
     own, partner = ("R", "RR") if flow == "imports" else ("RR", "R")
     if not net:
-        return eq(df, own, region).select(SCENARIO, YEAR, F.col(partner).alias("Region"), VALUE)
-    involved = (F.col("R") == region) | (F.col("RR") == region)
+        return df.filter(_among(own, region)).select(SCENARIO, YEAR, F.col(partner).alias("Region"), VALUE)
+    involved = _among("R", region) | _among("RR", region)
     return _flows(
         df.filter(involved),
         [_side(own, partner, region, 1), _side(partner, own, region, -1)],
@@ -62,19 +68,22 @@ def region_flows(
 def trade_by_region(
     catalog: Mapping[str, DataFrame],
     sector: str,
-    region: str,
+    region: Value,
     flow: str,
     *,
     net: bool = False,
     percent: bool = False,
     difference: Sequence[str] | bool = False,
+    wide: bool = False,
+    values: Sequence[str] | None = None,
     horizon: int = 2100,
     meta: ModelMetadata = DEFAULT,
 ) -> DataFrame:
     """N-10, N-11, N-13, N-14: trade by scenario, year and partner region.
 
     ``percent`` gives partner shares. ``difference`` gives the first scenario minus the second:
-    pass the two names in registry order, or True when the data holds exactly two.
+    pass the two names in registry order, or True when the data holds exactly two. ``wide`` gives
+    one column per region name, those of ``values`` or else all that the metadata knows.
     """
     df = agg_sum(
         region_flows(catalog, sector, region, flow, net=net, horizon=horizon),
@@ -86,13 +95,15 @@ def trade_by_region(
     if difference:
         pair = None if difference is True else list(difference)
         df = scenario_diff(df, pair, keys=(YEAR, "Region"))
-    return df
+    keys = [c for c in (SCENARIO, YEAR) if c in df.columns]
+    names = dict.fromkeys(meta.region_names.values()) if values is None else values
+    return widened(df, wide, "Region", list(names), keys)
 
 
 def trade_by_scenario(
     catalog: Mapping[str, DataFrame],
     sector: str,
-    region: str,
+    region: Value,
     flow: str,
     *,
     net: bool = False,

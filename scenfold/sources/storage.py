@@ -15,7 +15,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         current = tempfile.mkdtemp(prefix="checkpoint-")
     if context.getCheckpointDir() is None:

@@ -1,19 +1,24 @@
 """Loading scenarios into a symbol catalog (SRC-2..SRC-9).
 
 A scenario path is a folder with one dataset per symbol (``agy.parquet`` or ``agy/``, likewise for
-CSV). Symbols stay lazy: loading reads file listings and schemas only, and probes one row per part
-for emptiness. A loaded symbol is a union of its scenarios' scans, each with its scenario name as
-a constant, so a filter on ``Scenario`` prunes the other scenarios' files from the plan.
+CSV, which may be compressed: ``agy.csv.gz``). Symbols stay lazy: loading reads file listings and
+schemas (side by side, in a pool of threads), and probes one row per part for emptiness. A loaded
+symbol is a balanced union of its scenarios' scans, each with its scenario name as a constant, so
+a filter on ``Scenario`` prunes the other scenarios' files from the plan.
+
+The folder of a scenario is listed, and its checkpoint folder found, through the session's JVM
+gateway, so loading needs a classic session; it does not run over Spark Connect.
 """
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from scenfold.functions.scalars import null_if_nan
 from scenfold.model import (
@@ -37,6 +42,22 @@ log = logging.getLogger(__name__)
 
 TIME_RANGE = (2020, 2100)
 FORMATS = ("parquet", "csv")
+COMPRESSED = ("gz", "bz2", "zst", "deflate", "snappy", "lz4")
+SCHEMA_THREADS = 16
+
+
+def dataset_name(name: str) -> tuple[str, str] | None:
+    """Symbol and format of a file or folder by its suffix; None for what is no dataset."""
+    if name.startswith(("_", ".")):
+        return None
+    stem, dot, suffix = name.rpartition(".")
+    if dot and suffix in COMPRESSED:
+        stem, dot, suffix = stem.rpartition(".")
+        if suffix != "csv":
+            return None
+    if not dot:
+        return name, "parquet"
+    return (stem, suffix) if stem and suffix in FORMATS else None
 
 
 def list_symbols(spark: SparkSession, path: str) -> dict[str, tuple[str, str]] | None:
@@ -52,10 +73,15 @@ def list_symbols(spark: SparkSession, path: str) -> dict[str, tuple[str, str]] |
     found = {}
     for status in fs.listStatus(folder):
         name = status.getPath().getName()
-        stem, _, suffix = name.partition(".")
-        if name.startswith(("_", ".")) or (suffix and suffix not in FORMATS):
+        known = dataset_name(name)
+        if known is None:
+            if not name.startswith(("_", ".")):
+                log.warning("%s is not a dataset of a known format, skipped", status.getPath())
             continue
-        found[stem] = (status.getPath().toString(), suffix or "parquet")
+        symbol, fmt = known
+        if symbol in found:
+            raise ValueError(f"two datasets of symbol {symbol}: {found[symbol][0]} and {name}")
+        found[symbol] = (status.getPath().toString(), fmt)
     return found
 
 
@@ -110,18 +136,34 @@ def rename_symbol(name: str, df: DataFrame) -> DataFrame:
 
 
 def clean(df: DataFrame) -> DataFrame:
-    """NaN -> NULL in the measure, once, at load."""
-    if VALUE in df.columns and isinstance(df.schema[VALUE].dataType, (DoubleType, FloatType)):
-        return df.withColumn(VALUE, null_if_nan(VALUE))
+    """The measure as a double, NULL where it is NaN or no number; once, at load, after renaming."""
+    if VALUE in df.columns:
+        return df.withColumn(VALUE, null_if_nan(F.col(VALUE).try_cast("double")))
     return df
 
 
 def read_part(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    """One scenario's dataset of one symbol. CSV dimensions stay strings."""
-    if fmt == "csv":
-        df = spark.read.option("header", True).csv(path)
-        return df.withColumn(VALUE, F.col(VALUE).try_cast("double")) if VALUE in df.columns else df
-    return spark.read.parquet(path)
+    """One scenario's dataset of one symbol. CSV columns are strings until they are cleaned."""
+    return spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.parquet(path)
+
+
+def read_parts(
+    spark: SparkSession, parts: Sequence[tuple[Scenario, str, str]]
+) -> dict[str, DataFrame]:
+    """All scenarios' datasets of one symbol; their schemas are read side by side."""
+    with ThreadPoolExecutor(SCHEMA_THREADS) as pool:
+        frames = pool.map(lambda part: read_part(spark, part[1], part[2]), parts)
+        return {part[0].name: df for part, df in zip(parts, frames, strict=True)}
+
+
+def prepared(name: str, df: DataFrame) -> DataFrame:
+    """Source columns under their final names, with a clean measure.
+
+    A part whose columns do not fit the symbol's positions stays as it is, for the gates to refuse.
+    """
+    if name in POSITIONAL_SYMBOLS and len(df.columns) != len(SYMBOL_DIMS[name]) + 1:
+        return df
+    return clean(rename_symbol(name, df))
 
 
 def load_symbol(
@@ -133,22 +175,24 @@ def load_symbol(
     check_empty: bool = True,
 ) -> DataFrame | None:
     """Gate, rename, stamp and stack the parts of one symbol; None when it is rejected."""
-    frames = {s.name: clean(read_part(spark, path, fmt)) for s, path, fmt in parts}
+    sources = read_parts(spark, parts)
+    frames = {scenario: prepared(name, df) for scenario, df in sources.items()}
     if check_empty:
         frames = drop_empty(frames)
     if not frames:
         log.warning("symbol %s has no data", name)
         return None
-    if not same_schema(list(frames.values())):
+    if not same_schema([sources[scenario] for scenario in frames]):
         log.warning("symbol %s has different columns across scenarios, skipped", name)
         return None
     if not has_measure(next(iter(frames.values()))):
         log.warning("symbol %s has fewer than two columns, skipped", name)
         return None
+    if name in POSITIONAL_SYMBOLS and VALUE not in next(iter(frames.values())).columns:
+        log.warning("symbol %s does not have the columns of its positions, skipped", name)
+        return None
     cases = {s.name: s.case for s, _, _ in parts}
-    stacked = union_all(
-        *[stamp(rename_symbol(name, df), scenario, cases[scenario]) for scenario, df in frames.items()]
-    )
+    stacked = union_all(*[stamp(df, scenario, cases[scenario]) for scenario, df in frames.items()])
     for col in (TIME, YEAR):
         if col in stacked.columns:
             stacked = time_range(stacked, col, *time)

@@ -1,13 +1,16 @@
 """Loading, gates, metadata and output, on real files."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from scenfold import load_scenarios
 from scenfold.metadata import CONVERSION, DEFAULT, metadata
 from scenfold.model import symbol_schema
+from scenfold.operators.filters import time_range
 from scenfold.sources import symbols
 from scenfold.sources.registry import read_entries, scenario_registry
 from scenfold.sources.sinks import write_csv
+from scenfold.sources.symbols import dataset_name
 from tests.frames import frame, values
 
 
@@ -124,3 +127,42 @@ def test_checkpoint_needs_a_shared_folder(spark):
     assert df.count() == 1
     with pytest.raises(KeyError):
         symbols.open_symbols(spark, checkpoint_dir(spark))["nothing"]
+
+
+def test_years_written_as_decimals_are_kept(spark):
+    df = spark.createDataFrame([("2020.0",), ("2050",), ("2050.5",), ("n/a",), (None,)], "t string")
+    assert sorted(r.t for r in time_range(df, "t", 2020, 2100).collect()) == [2020, 2050]
+    df = spark.createDataFrame([(2100.7,), (2100.0,), (float("nan"),)], "t double")
+    assert [r.t for r in time_range(df, "t", 2020, 2100).collect()] == [2100]
+
+
+def test_positional_measures_are_cleaned_after_renaming(spark, tmp_path):
+    nan = float("nan")
+    rows = [(2020, "A", "EUR", 1.0), (2020, "A", "USA", nan), (2020, "B", "USA", 2.0)]
+    spark.createDataFrame(rows, "a int, b string, c string, level double").write.parquet(
+        f"{tmp_path}/sco2.parquet"
+    )
+    spark.createDataFrame(
+        [("A", "EUR", "2020.0", "3.5"), ("A", "EUR", "2030", "oops")],
+        "a string, b string, c string, level string",
+    ).write.option("header", True).csv(f"{tmp_path}/etotco2.csv")
+    catalog = load_scenarios(spark, {"Ref": str(tmp_path)})
+    total = catalog["sco2"].agg(F.sum("Value")).first()[0]
+    assert total == 3.0
+    found = sorted((r.t, r.Value) for r in catalog["etotco2"].collect())
+    assert found == [(2020, 3.5), (2030, None)]
+
+
+def test_dataset_names():
+    assert dataset_name("agy.v2.parquet") == ("agy.v2", "parquet")
+    assert dataset_name("agy.csv.gz") == ("agy", "csv")
+    assert dataset_name("agy") == ("agy", "parquet")
+    assert dataset_name("notes.txt") is None and dataset_name("_SUCCESS") is None
+
+
+def test_two_datasets_of_one_symbol_are_refused(spark, tmp_path):
+    df = spark.createDataFrame([("A", "EUR", 2020, 1.0)], "G string, R string, t int, Value double")
+    df.write.parquet(f"{tmp_path}/agy.parquet")
+    df.write.option("header", True).csv(f"{tmp_path}/agy.csv")
+    with pytest.raises(ValueError, match="two datasets"):
+        load_scenarios(spark, {"Ref": str(tmp_path)})

@@ -353,6 +353,10 @@ ORACLE: dict[str, str] = {
         SELECT a.Scenario, a.R, a.G, a.t, round(coalesce(k.Value, 1.0), 8) AS factor,
           round(a.Value * coalesce(k.Value, 1.0), 8) AS Value
         FROM agy a LEFT JOIN ejoe k ON a.Scenario = k.Scenario AND a.R = k.R AND a.G = k.G"""),
+    "lim_first": _sql("agy ejoe", """
+        SELECT a.Scenario, a.R, a.G, a.t, round(k.f, 6) AS factor, round(a.Value, 6) AS Value
+        FROM agy a LEFT JOIN (SELECT Scenario, R, min(Value) AS f FROM ejoe GROUP BY Scenario, R) k
+          ON a.Scenario = k.Scenario AND a.R = k.R"""),
     "join_align": _sql("sco2 etotco2", """
         SELECT a.Scenario, a.t, a.R, round(a.Value + b.Value, 6) AS added, round(b.Value / a.Value, 6) AS ratio
         FROM sco2 a LEFT JOIN etotco2 b
@@ -412,8 +416,10 @@ ORACLE: dict[str, str] = {
         FULL JOIN (SELECT * FROM data WHERE Attribute = 'LARGE' AND Scenario = {REF}) b
           ON a.Year = b.Year AND a.Region = b.Region"""),
     "srt_keys": _sql("sco2", """
-        SELECT Scenario, t, round(sum(Value), 2) AS Value FROM sco2 GROUP BY Scenario, t
-        ORDER BY Scenario DESC, t"""),
+        SELECT Scenario, t, round(sum(Value), 2) AS Value,
+          CAST(dense_rank() OVER (ORDER BY Scenario DESC) - 1 AS INTEGER) AS ord,
+          CAST(row_number() OVER (PARTITION BY Scenario ORDER BY t) AS INTEGER) AS position
+        FROM sco2 GROUP BY Scenario, t"""),
     "set_union_all": _sql("sco2 ei_t", """
         SELECT Scenario, t, G, round(sum(Value), 2) AS Value, CAST(NULL AS VARCHAR) AS e FROM sco2
           GROUP BY Scenario, t, G
@@ -513,6 +519,18 @@ ORACLE: dict[str, str] = {
     "trade_net": _sql("netimp rnames", """
         SELECT Scenario, Year, coalesce(name, Region) AS Region, round(v, 2) AS Value
         FROM netimp LEFT JOIN rnames ON code = Region"""),
+    "trade_region_list": _sql("trad_t rnames", """
+        SELECT Scenario, Year, coalesce(name, RR) AS Region, round(v, 2) AS Value
+        FROM (SELECT Scenario, t AS Year, RR, sum(Value) AS v FROM trad_t
+          WHERE G = 'LARGE' AND R IN ('ASIA', 'EUROPE') GROUP BY Scenario, t, RR)
+        LEFT JOIN rnames ON code = RR"""),
+    "trade_wide": _sql("impo", """
+        SELECT Scenario, Year, round(sum(v) FILTER (Region = 'AFRICA'), 2) AS Africa,
+          round(sum(v) FILTER (Region = 'AMERICA'), 2) AS America,
+          round(sum(v) FILTER (Region = 'ASIA'), 2) AS Asia,
+          round(sum(v) FILTER (Region = 'EUROPE'), 2) AS Europe,
+          round(sum(v) FILTER (Region = 'MIDDLE EAST'), 2) AS "MIDDLE EAST"
+        FROM impo GROUP BY Scenario, Year"""),
     "trade_share": _sql("impo rnames", """
         SELECT Scenario, Year, coalesce(name, Region) AS Region,
           round(v / sum(v) OVER (PARTITION BY Scenario, Year) * 100, 6) AS Value
@@ -584,6 +602,22 @@ ORACLE: dict[str, str] = {
         WHERE R = 'ASIA' AND e = 'N' AND G IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO')
         UNION ALL SELECT a.Scenario, a.t, 'INTERNAL', round(a.Value * k.Value, 6) FROM ee_add a
         JOIN ejoe_e k ON k.e = 'N' AND k.R = a.R AND k.Scenario = a.Scenario WHERE a.R = 'ASIA' AND a.e = 'N'"""),
+    "tec_carrier_list": _sql("ee_sect ee_add ejoe_e", """
+        , k AS (SELECT Scenario, Value AS f FROM ejoe_e WHERE e = 'A' AND R = 'ASIA'),
+        u AS (SELECT Scenario, t, G, Value FROM ee_sect
+            WHERE R = 'ASIA' AND e = 'A' AND G IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO')
+          UNION ALL SELECT Scenario, t, 'INTERNAL', Value * f FROM ee_add JOIN k USING (Scenario)
+            WHERE R = 'ASIA' AND e = 'A')
+        SELECT Scenario, t AS Year, G, round(Value / 3.6::DOUBLE * 1000, 6) AS Value FROM u"""),
+    "tec_labels": _sql("ee_sect", """
+        SELECT Scenario, t AS Year, CASE e WHEN 'A' THEN 'electricity' ELSE 'coke' END AS e,
+          round(Value, 2) AS Value
+        FROM ee_sect WHERE R = 'ASIA' AND G = 'PROMO' AND e <> 'R'"""),
+    "tec_labels_cement": _sql("ee_sect", """
+        SELECT Scenario, t AS Year, CASE e WHEN 'A' THEN 'electricity' WHEN 'R' THEN 'oil'
+            ELSE 'petroleum products' END AS e,
+          round(Value, 2) AS Value
+        FROM ee_sect WHERE R = 'ASIA' AND G = 'ECONOMY'"""),
     "tec_exports": _sql("ee_sect ee_add expo_e ejoe_e", """
         , k AS (SELECT Scenario, Value AS f FROM ejoe_e WHERE e = 'A' AND R = 'ASIA'),
         u AS (SELECT Scenario, t, G, Value FROM ee_sect
@@ -647,6 +681,9 @@ ORACLE: dict[str, str] = {
     "liquids_mix": _sql("e_aai fuelmap", f"""
         , {EI_ALL}, {_shares("AMERICA").strip()}, {LIQUIDS_AMERICA.strip()}
         SELECT Scenario, t AS Year, fuel AS Technology, round(v, 2) AS Value FROM fuels"""),
+    "liquids_region_list": _sql("e_aai fuelmap", f"""
+        , {EI_ALL}, {_shares("AMERICA").strip()}, {LIQUIDS_AMERICA.strip()}
+        SELECT Scenario, t AS Year, fuel AS Technology, round(v, 2) AS Value FROM fuels"""),
     # --- chart data
     "cht_stack": _sql("agy", """
         , s AS (SELECT Scenario, t AS Year, G, sum(Value) AS v,

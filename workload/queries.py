@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -262,6 +263,14 @@ def join_factor(spark, sf_dir):
     return rounded(df.select(SCENARIO, "R", "G", "t", "factor", VALUE), 8, "factor", VALUE)
 
 
+@query
+def lim_first(spark, sf_dir):
+    """Several factors per key: the least counts, and no row is multiplied."""
+    catalog = shared_catalog(spark, sf_dir, ["agy", "ejoe"])
+    df = joins.with_factor(catalog["agy"], catalog["ejoe"], [SCENARIO, "R"])
+    return rounded(df.select(SCENARIO, "R", "G", "t", "factor", VALUE), 6, "factor", VALUE)
+
+
 @query
 def join_align(spark, sf_dir):
     catalog = shared_catalog(spark, sf_dir, ["sco2", "etotco2"])
@@ -385,7 +394,7 @@ def cmp_scendiff(spark, sf_dir):
 def srt_keys(spark, sf_dir):
     registry = scenario_registry(spark, dict.fromkeys(reversed(SCENARIOS)))
     df = aggregates.agg_sum(star_symbol(spark, sf_dir, "sco2"), KEYS)
-    return rows(ordering.by_registry(df, registry), "t")
+    return rows(ordering.by_registry(df, registry, ranks=True), "t", "ord", "position")
 
 
 @query
@@ -563,6 +572,21 @@ def trade_net(spark, sf_dir):
     return rows(_trade(spark, sf_dir, "imports", net=True), YEAR, "Region")
 
 
+@query
+def trade_region_list(spark, sf_dir):
+    df = trade.trade_by_region(
+        star_catalog(spark, sf_dir), "LARGE", ["ASIA", "EUROPE"], "imports", meta=META
+    )
+    return rows(df, YEAR, "Region")
+
+
+@query
+def trade_wide(spark, sf_dir):
+    names = ["Africa", "America", "Asia", "Europe", "MIDDLE EAST"]
+    df = _trade(spark, sf_dir, "imports", wide=True, values=names)
+    return rounded(df, 2, *names)
+
+
 @query
 def trade_share(spark, sf_dir):
     return rows(_trade(spark, sf_dir, "imports", percent=True), YEAR, "Region", digits=6)
@@ -698,6 +722,34 @@ def tec_add(spark, sf_dir):
     return rows(df, YEAR, "G", digits=6)
 
 
+@query
+def tec_carrier_list(spark, sf_dir):
+    """A list of one carrier means the same as the carrier: self-use and TWh included."""
+    catalog = shared_catalog(spark, sf_dir, ["ee_sect", "ee_add", "ejoe"], aliases=CARRIER_SYMBOLS)
+    df = energy.energy_use(catalog, "all", ["ASIA"], ["A"], meta=ENERGY_META)
+    return rows(df, YEAR, "G", digits=6)
+
+
+def _labelled(spark, sf_dir, sector):
+    named = {"A": "electricity", "N": "refined oil", "R": "oil"}
+    sectors = {code: (name, name, "", name, None) for code, name in named.items()}
+    meta = replace(ENERGY_META, sectors=sectors, refined_oil="N")
+    df = energy.energy_use(star_catalog(spark, sf_dir), sector, "ASIA", "all", labels=True, meta=meta)
+    return rows(df, YEAR, "e")
+
+
+@query
+def tec_labels(spark, sf_dir):
+    """Carriers by name; refined oil is coke in steel."""
+    return _labelled(spark, sf_dir, "PROMO")
+
+
+@query
+def tec_labels_cement(spark, sf_dir):
+    """Carriers by name; refined oil is petroleum products in cement."""
+    return _labelled(spark, sf_dir, "ECONOMY")
+
+
 @query
 def tec_exports(spark, sf_dir):
     names = ["ee_sect", "ee_add", "ejoe", "expo_t"]
@@ -789,6 +841,13 @@ def liquids_mix(spark, sf_dir):
     return rows(df, YEAR, "Technology", digits=2)
 
 
+@query
+def liquids_region_list(spark, sf_dir):
+    catalog = shared_catalog(spark, sf_dir, ["liquids", "e_aai"])
+    df = mixes.liquids_mix(catalog, ["AMERICA"], meta=META)
+    return rows(df, YEAR, "Technology", digits=2)
+
+
 # --- Chart data ---------------------------------------------------------------------------------------------
 
 
