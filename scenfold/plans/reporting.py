@@ -68,13 +68,17 @@ def electricity(
 
 
 def emission_price(
-    table: DataFrame, kind: str, horizon: int = 2100, *, meta: ModelMetadata = DEFAULT
+    table: DataFrame, kind: str, horizon: int = 2100, *, wide: bool = False,
+    values: Sequence[str] | None = None, meta: ModelMetadata = DEFAULT,
 ) -> DataFrame:
-    """N-16: CO2 (``co2``) or GHG (``ghg``) price, averaged over regions."""
+    """N-16: CO2 (``co2``) or GHG (``ghg``) price, averaged over regions.
+
+    ``wide`` gives one column per scenario, those of ``values`` or all.
+    """
     if kind not in meta.price_attributes:
         raise ValueError(f"kind must be one of {sorted(meta.price_attributes)}, not {kind!r}")
     df = eq(until(table, horizon, YEAR), "Attribute", meta.price_attributes[kind])
-    return agg_mean(df, [SCENARIO, YEAR])
+    return widened(agg_mean(df, [SCENARIO, YEAR]), wide, SCENARIO, values, [YEAR])
 
 
 def gdp(

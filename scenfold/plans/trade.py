@@ -110,13 +110,16 @@ def trade_by_scenario(
     relative: bool = False,
     index: bool = False,
     world: bool = False,
+    one_way: bool = False,
     ref: str = REFERENCE,
     horizon: int = 2100,
 ) -> DataFrame:
     """N-12: trade by scenario and year, optionally relative to the reference, then indexed.
 
-    ``world=True`` sums the whole sector whatever the region.
+    ``world=True`` sums the whole sector whatever the region. ``one_way`` indexes the flow itself even
+    where ``net`` asks for the balance, which may start at zero or below.
     """
+    net = net and not (one_way and index)
     if world and not net:
         rows = eq(until(catalog["trad_t"], horizon), "G", sector).withColumnRenamed(TIME, YEAR)
     else:

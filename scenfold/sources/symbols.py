@@ -37,6 +37,7 @@ from scenfold.model import (
 from scenfold.operators.filters import time_range
 from scenfold.operators.joins import union_all
 from scenfold.sources.registry import Scenario, read_entries
+from scenfold.sources.sinks import write_csv
 
 log = logging.getLogger(__name__)
 
@@ -207,10 +208,12 @@ def load_scenarios(
     symbols: Sequence[str] | None = None,
     check_empty: bool = True,
     verbose: bool = False,
+    csv: str | None = None,
 ) -> SymbolCatalog:
     """SRC-2: every symbol of every reachable scenario, as a catalog of lazy frames.
 
     Missing paths are skipped (and logged with ``verbose``). ``symbols`` restricts what is opened.
+    ``csv`` is a folder to write the reporting table to, if there is one.
     """
     found: dict[str, list[tuple[Scenario, str, str]]] = {}
     for scenario in read_entries(entries):
@@ -226,7 +229,10 @@ def load_scenarios(
         name: load_symbol(spark, name, parts, time, check_empty=check_empty)
         for name, parts in found.items()
     }
-    return SymbolCatalog({name: df for name, df in loaded.items() if df is not None})
+    catalog = SymbolCatalog({name: df for name, df in loaded.items() if df is not None})
+    if csv is not None and (table := reporting_table(catalog, time)) is not None:
+        write_csv(table, csv)
+    return catalog
 
 
 def reporting_table(

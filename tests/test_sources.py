@@ -166,3 +166,13 @@ def test_two_datasets_of_one_symbol_are_refused(spark, tmp_path):
     df.write.option("header", True).csv(f"{tmp_path}/agy.csv")
     with pytest.raises(ValueError, match="two datasets"):
         load_scenarios(spark, {"Ref": str(tmp_path)})
+
+
+def test_the_reporting_table_is_exported_at_load(spark, tmp_path):
+    rows = [("GDP", "2020", "EUR", 1.5)]
+    spark.createDataFrame(rows, "Attribute string, Year string, Region string, level double").write.parquet(
+        f"{tmp_path}/run/data"
+    )
+    load_scenarios(spark, {"Ref": f"{tmp_path}/run"}, csv=f"{tmp_path}/out")
+    found = spark.read.option("header", True).csv(f"{tmp_path}/out").collect()
+    assert [(r.Attribute, r.Year, r.Value, r.Scenario) for r in found] == [("GDP", "2020", "1.5", "Ref")]

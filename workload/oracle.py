@@ -564,6 +564,12 @@ ORACLE: dict[str, str] = {
     "pemis_ghg": _sql("data", """
         SELECT Scenario, Year, round(avg(Value), 3) AS Value FROM data
         WHERE Attribute = 'LARGE' AND Year <= 2000 GROUP BY Scenario, Year"""),
+    "pemis_wide": _sql("data", f"""
+        SELECT Year, {_columns("Scenario", _same(SCENARIOS), digits=3, agg="avg")} FROM data
+        WHERE Attribute = 'ECONOMY' GROUP BY Year"""),
+    "snk_csv": _sql("data", """
+        SELECT Scenario, Year, round(avg(Value), 3) AS Value FROM data WHERE Attribute = 'ECONOMY'
+        GROUP BY Scenario, Year"""),
     "nrj": _sql("data_brand", f"""
         SELECT Scenario, Year, {_columns("Attribute", [(f"Brand#{i}", n) for i, n in enumerate(PRIMARY, 11)])}
         FROM data_brand WHERE Region IN ('ASIA', 'EUROPE')

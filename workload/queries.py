@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -30,7 +31,8 @@ from scenfold.sources.star import (
     star_symbol,
     table,
 )
-from scenfold.sources.storage import cut
+from scenfold.sources.sinks import write_csv
+from scenfold.sources.storage import checkpoint_dir, cut
 from workload.settings import ELECTRICITY_CARRIER, ENERGY_META, HORIZON, META, YEARS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -645,6 +647,23 @@ def pemis_ghg(spark, sf_dir):
     return rows(df, YEAR, digits=3)
 
 
+@query
+def pemis_wide(spark, sf_dir):
+    data = _data(spark, sf_dir)
+    df = reporting.emission_price(data, "co2", wide=True, values=SCENARIOS, meta=META)
+    return rounded(df, 3, *SCENARIOS)
+
+
+@query
+def snk_csv(spark, sf_dir):
+    """What is written, read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    prices = reporting.emission_price(_data(spark, sf_dir), "co2", meta=META)
+    write_csv(rows(prices, YEAR, digits=3), path)
+    schema = f"{SCENARIO} string, {YEAR} int, {VALUE} double"
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
 @query
 def nrj(spark, sf_dir):
     df = reporting.primary_energy(_data(spark, sf_dir, "data_brand"), ["ASIA", "EUROPE"], meta=META)
