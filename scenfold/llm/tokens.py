@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -18,12 +20,24 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parall
 # White space that is not ASCII, and separators that some definitions count as white space.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SPACES_TOGETHER = ("  ", "\t ", "\n ", "\x0b ", "\x0c ", "\r ")
-KEPT_PARTS = 700_000
+KEPT_PARTS = 900_000
 PUNCTUATION = ".,;:!?*#%&$|"
 PLAIN = "\0"  # marks a part without a space before it
 TOGETHER = 200  # texts encoded at a time
 
 BYTE_LEVEL, WORD_LEVEL = "byte", "word"
+LAST_PLAIN_LETTER = "\u024f"  # up to here, letters are composed and have one lower case
+NOT_PLAIN = "\u0130"
+
+
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it is visible."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + others.index(b)) for b in range(256)]
+
+
+BYTE_CHARACTERS = byte_characters()
 
 
 class Encoder:
@@ -37,6 +51,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kind = kind
         self.kept: dict[str, bytes] = {}
 
@@ -44,6 +59,25 @@ class Encoder:
         encodings = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encodings]
 
+    def word(self, part: str) -> bytes | None:
+        """Ids of a part that is one plain word, by the tokenizer's model; None if it is not.
+
+        Normalization is lower case at most, and the word is not split, so the model alone does.
+        """
+        plain = part[1:] if part.startswith(PLAIN) else part
+        if not plain.isalpha() or max(plain) > LAST_PLAIN_LETTER or NOT_PLAIN in plain:
+            return None
+        if self.kind == WORD_LEVEL:
+            plain = plain.lower()
+        if not plain.isascii():
+            plain = "".join([BYTE_CHARACTERS[b] for b in plain.encode()])
+        if self.kind == BYTE_LEVEL and not part.startswith(PLAIN):
+            plain = BYTE_CHARACTERS[32] + plain
+        ids = array("I", [t.id for t in self.model.tokenize(plain)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def parts(self, text: str) -> list[str] | None:
         """Parts that are encoded independently; None if the text must be encoded whole."""
         if "<|" in text or ODD_SPACE.search(text):
@@ -62,12 +96,13 @@ class Encoder:
         split = {p: p[len(c) :] for p, c in cores.items() if c != p and c.isalpha()}
         wanted = list({cores[p] if p in split else p for p in parts} - self.kept.keys())
         wanted += list({PLAIN + tail for tail in split.values()} - self.kept.keys())
-        texts = wanted
+        found = {p: ids for p in wanted if (ids := self.word(p)) is not None}
+        others = [p for p in wanted if p not in found]
         if self.kind == BYTE_LEVEL:
-            texts = [p[1:] if p.startswith(PLAIN) else " " + p for p in wanted]
+            texts = [p[1:] if p.startswith(PLAIN) else " " + p for p in others]
         else:
-            texts = [p.removeprefix(PLAIN) for p in wanted]
-        found = dict(zip(wanted, self.whole(texts), strict=True))
+            texts = [p.removeprefix(PLAIN) for p in others]
+        found.update(zip(others, self.whole(texts), strict=True))
         for part, tail in split.items():
             core, end = cores[part], PLAIN + tail
             found[part] = (found.get(core) or self.kept[core]) + (found.get(end) or self.kept[end])
