@@ -40,6 +40,12 @@ SIMILAR_SHINGLE = 5
 SKETCH_WORDS = 4
 # Sketches of texts with a similarity of 0.8 differ in 39 of 256 bits, give or take 5.7; this is 1.4 deviations more.
 SKETCH_BITS = 47
+# Keys of BANDS times BAND minima: of pairs with a similarity of 0.8, one in 20 million has none in common.
+BANDS, BAND = 32, 4
+MINIMA = 256
+MULTIPLIERS, MASKS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, MINIMA, 1), np.uint32)
+MULTIPLIERS |= np.uint32(1)
+MINIMA_CHUNK = 512
 
 
 # --- Fingerprints ------------------------------------------------------------------------------
@@ -87,13 +93,34 @@ def remixed(hashes: np.ndarray, turn: int) -> np.ndarray:
     return mixed ^ mixed >> np.uint64(31)
 
 
-def sketch(text: str | None) -> tuple[int, bytes]:
-    """A fingerprint of the set of words, to search by, and 256 bits of five-word shingles."""
-    words = text_words(text)
-    search = majority(shingle_hashes(sorted(set(words)), 1) if len(words) > 1 else shingle_hashes(words, 1))
-    hashes = shingle_hashes(words, SIMILAR_SHINGLE)
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least of the hashes in each of ``MINIMA`` orders; two sets have the same least with a
+    probability of their Jaccard similarity, in whatever way they differ."""
+    low, out = hashes.astype(np.uint32), np.full(MINIMA, -1, np.int32).view(np.uint32)
+    for i in range(0, len(low), MINIMA_CHUNK):
+        np.minimum(out, ((low[i : i + MINIMA_CHUNK] ^ MASKS) * MULTIPLIERS).min(1), out=out)
+    return out
+
+
+def band_keys(least: np.ndarray) -> bytes:
+    """A key of 64 bits for every ``BAND`` minima."""
+    pairs = least[: BANDS * BAND].view(np.uint64).reshape(BANDS, BAND // 2)
+    keys = pairs[:, 0]
+    for other in pairs.T[1:]:
+        keys = remixed(keys, 1) ^ other
+    return remixed(keys, 2).tobytes()
+
+
+def sketch(text: str | None) -> tuple[bytes, bytes]:
+    """Keys of the set of five-word shingles, to search by, and 256 bits of the shingles."""
+    hashes = shingle_hashes(text_words(text), SIMILAR_SHINGLE)
     bits = [majority(remixed(hashes, turn)) for turn in range(1, SKETCH_WORDS + 1)]
-    return search, b"".join(b.to_bytes(8, "little") for b in bits)
+    return band_keys(minima(hashes)), b"".join(b.to_bytes(8, "little") for b in bits)
+
+
+def each_key(search: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of all keys, given a row of keys per item."""
+    return np.repeat(np.arange(len(search)), search.shape[1]), search.ravel().view(np.int64)
 
 
 def signed(values: list[int]) -> np.ndarray:
@@ -232,13 +259,18 @@ def compared(keyed: DataFrame, radius: int, words: int, limit: int | None) -> Da
 def linked(prints: DataFrame, keys: Callable, radius: int, words: int, bucket: int = BUCKET) -> DataFrame:
     """Links ``(u, v)`` between the rows (node, search, print) that share a key.
 
-    ``search`` is the 64-bit fingerprint that ``keys`` makes keys of.
+    ``search`` is the 64-bit fingerprint, or a row of several as bytes, that ``keys`` makes keys of.
     """
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 2000):
                 batch = whole.slice(i, 2000)
-                search = batch.column("search").to_numpy(zero_copy_only=False).view(np.uint64)
+                search = batch.column("search")
+                if pa.types.is_binary(search.type):
+                    raw = b"".join(search.to_pylist())
+                    search = np.frombuffer(raw, np.uint64).reshape(batch.num_rows, -1)
+                else:
+                    search = search.to_numpy(zero_copy_only=False).view(np.uint64)
                 rows, found = keys(search)
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
@@ -285,23 +317,23 @@ def duplicate_ids(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """``(doc_id, component_id)`` of the documents that are near-duplicates of one with a lesser id.
 
     Texts are near-duplicates if their 256-bit sketches of five-word shingles are as close as those
-    of texts with a similarity of 0.8; they are searched by fingerprints of their words.
+    of texts with a similarity of 0.8; they are searched by keys of minima of their shingles.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [sketch(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(signed([s for s, _ in made])),
+                    batch.column("doc_id"), pa.array([s for s, _ in made], pa.binary()),
                     pa.array([p for _, p in made], pa.binary()),
                 ],
                 ["doc_id", "search", "print"],
             )
 
     known = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    made = stored(known.mapInArrow(run, "doc_id long, search long, print binary"))
+    made = stored(known.mapInArrow(run, "doc_id long, search binary, print binary"))
     classes = stored(made.groupBy("search", "print").agg(F.min("doc_id").alias("node")))
-    found = components(linked(classes, golay.keys_within_5, SKETCH_BITS, SKETCH_WORDS, bucket))
+    found = components(linked(classes, each_key, SKETCH_BITS, SKETCH_WORDS, bucket))
     named = classes.join(found, "node", "left").select(
         "search", "print", F.coalesce("component", "node").alias("component_id")
     )

@@ -131,6 +131,37 @@ def test_deduplication_keeps_one_of_each_group(spark):
     assert sorted(kept) == [0, 4, 5, 6, 7, 8]
 
 
+def edited_pair(draw, words, kind):
+    """Two texts with a five-word-shingle similarity of 0.8 or barely more, and that similarity."""
+    text = [f"w{int(draw.paretovariate(0.4))}.{draw.randrange(9)}" for _ in range(words)]
+    new, copy, best = [f"n{draw.random()}" for _ in range(words)], text, None
+    where = draw.sample(range(words), words)
+    for n in range(1, words, max(1, words // 100)):
+        if kind == "appended":
+            copy = text + new[:n]
+        elif kind == "cut":
+            copy = text[n:]
+        elif kind == "inserted":
+            copy = text[: words // 2] + new[:n] + text[words // 2 :]
+        else:
+            copy = [new[i] if i in set(where[:n]) else w for i, w in enumerate(text)]
+        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (text, copy))
+        if 5 * len(a & b) < 4 * len(a | b):
+            break
+        best = (" ".join(text), " ".join(copy), len(a & b) / len(a | b))
+    return best
+
+
+@pytest.mark.parametrize("kind", ["appended", "cut", "inserted", "substituted"])
+def test_search_finds_pairs_at_the_limit(kind):
+    draw = random.Random(kind)
+    for words in [60, 100, 300, 1000] * 15:
+        a, b, like = edited_pair(draw, words, kind)
+        assert 0.8 <= like < 0.96
+        (left, _), (right, _) = simhash.sketch(a), simhash.sketch(b)
+        assert (np.frombuffer(left, np.uint64) == np.frombuffer(right, np.uint64)).any()
+
+
 # --- Rules -------------------------------------------------------------------------------------
 
 
