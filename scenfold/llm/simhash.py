@@ -1,4 +1,4 @@
-"""Near-duplicates by SimHash fingerprints, searched with Golay-code keys.
+"""Near-duplicates by SimHash fingerprints, searched with Golay-code keys; and by shingle sets.
 
 A fingerprint has a bit set where more than half of the hashes of a text's word shingles have it.
 Distinct fingerprints get several keys each by decoding their segments (``golay``); those that share
@@ -9,6 +9,8 @@ fingerprint (``linked``). Rows of one key are compared where they meet, without
 a bucket yields a spanning forest of its links, which has the same components. A bucket of more than
 ``BUCKET`` fingerprints is dealt out again in blocks, and every two blocks of it are compared, so no
 task holds more than two blocks. Components are found by rounds of joins on disk.
+Deduplication searches 32 rows of 48 bytes per distinct set of shingles; only the sets of
+candidates are made again, and compared in components of candidates, in blocks as above.
 
 Edge cases: a null or empty text, or one of white space, has fingerprint 0, linked like any other; a
 text with fewer words than a shingle is one shingle; a null id takes part but names no component (a
@@ -37,9 +39,13 @@ CHUNK = 1 << 15
 
 # For whole-corpus deduplication: five-word shingles, a Jaccard similarity of 0.8 or more.
 SIMILAR_SHINGLE = 5
+SIMILAR = (4, 5)
 SKETCH_WORDS = 4
-# Sketches of texts with a similarity of 0.8 differ in 39 of 256 bits, give or take 5.7; this is 1.4 deviations more.
-SKETCH_BITS = 47
+# Sketches of sets with a similarity of 0.8 differ in 25.6 of 256 bits, give or take 4.8; this is 7 deviations more.
+SKETCH_BITS = 60
+SHINGLES = 1 << 19  # in a block of sets to compare
+BROADCAST = 1_000_000
+
 # Keys of BANDS times BAND minima: of pairs with a similarity of 0.8, one in 20 million has none in common.
 BANDS, BAND = 32, 4
 MINIMA = 256
@@ -111,11 +117,20 @@ def band_keys(least: np.ndarray) -> bytes:
     return remixed(keys, 2).tobytes()
 
 
-def sketch(text: str | None) -> tuple[bytes, bytes]:
-    """Keys of the set of five-word shingles, to search by, and 256 bits of the shingles."""
-    hashes = shingle_hashes(text_words(text), SIMILAR_SHINGLE)
-    bits = [majority(remixed(hashes, turn)) for turn in range(1, SKETCH_WORDS + 1)]
-    return band_keys(minima(hashes)), b"".join(b.to_bytes(8, "little") for b in bits)
+def shingle_set(text: str | None) -> np.ndarray:
+    return np.unique(shingle_hashes(text_words(text), SIMILAR_SHINGLE))
+
+
+def set_name(hashes: np.ndarray) -> int:
+    """A signed 64-bit hash of a set."""
+    return int(signed([xxhash.xxh64_intdigest(hashes.tobytes(), SEED)])[0])
+
+
+def sketch(hashes: np.ndarray) -> tuple[bytes, bytes]:
+    """Keys of a set of shingles, to search by, and 256 bits, one of each of its minima."""
+    least = minima(hashes)
+    bits = least * np.uint32(0x9E3779B1) >> np.uint32(31)
+    return band_keys(least), np.packbits(bits.astype(bool), bitorder="little").tobytes()
 
 
 def each_key(search: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,33 +328,131 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, bucket: int = BUCKET)
     return prints.join(named.join(least, "component").select("fp", "component_id"), "fp")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """Small parts of the batches: what is made of a part is not kept for a whole batch."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the same sets as all links of a Jaccard similarity of 0.8 or more do.
+
+    Goes on as ``forest`` does, with exact counts.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    places = np.split(flat, np.cumsum(sizes)[:-1])
+    marked = np.zeros(len(flat), bool)
+    left, links = np.nonzero(sizes)[0], []
+    least, of = SIMILAR
+    while len(left) > 1:
+        ahead, left = [left[0]], left[1:]
+        flat = np.concatenate([places[i] for i in left])
+        while ahead and len(left):
+            at = ahead.pop()
+            starts = np.cumsum(sizes[left]) - sizes[left]
+            marked[places[at]] = True
+            shared = np.add.reduceat(marked[flat], starts, dtype=np.int64)
+            marked[places[at]] = False
+            near = of * shared >= least * (sizes[at] + sizes[left] - shared)
+            if near.any():
+                links += [(at, x) for x in left[near].tolist()]
+                ahead += left[near].tolist()
+                left = left[~near]
+                flat = np.concatenate([places[i] for i in left]) if len(left) else flat[:0]
+    return links
+
+
+def similar(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` between nodes of a group whose sets of shingles have a similarity of 0.8 or more.
+
+    ``groups`` has (node, component, size, least_id); a node's set is that of the text of ``least_id``
+    that it names. Every two sets of a component are compared, or reached by links: a large component
+    is dealt in blocks of about ``SHINGLES`` shingles, and every two of them meet in a task.
+    """
+    blocks = groups.groupBy("component").agg(F.ceil(F.sum("size") / SHINGLES).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    dealt = stored(groups.join(blocks, "component").withColumn("block", block))
+    wanted = F.broadcast(dealt) if dealt.count() <= BROADCAST else dealt
+    texts = docs.withColumnRenamed("doc_id", "least_id").join(wanted, "least_id").select(
+        "component", "node", "block", "blocks", "text"
+    )
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()  # rows may be repeated, and an id may have other texts
+        for batch in sliced(batches):
+            rows, found = [], []
+            for i, (node, text) in enumerate(zip(batch.column("node").to_pylist(), batch.column("text"), strict=True)):
+                if node not in done and set_name(hashes := shingle_set(text.as_py())) == node:
+                    done.add(node)
+                    rows.append(i)
+                    found.append(hashes.tobytes())
+            kept = batch.drop_columns(["text"]).take(pa.array(rows, pa.int64()))
+            yield kept.append_column("shingles", pa.array(found, pa.binary()))
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key and node."""
+        at, held = None, {}
+
+        def found() -> pa.RecordBatch:
+            nodes = list(held)
+            pairs = alike([np.frombuffer(x, np.uint64) for x in held.values()])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([nodes[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"]
+            )
+
+        for batch in sliced(batches):
+            for key, node, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "shingles")), strict=True):
+                if key != at:
+                    if len(held) > 1:
+                        yield found()
+                    at, held = key, {}
+                held[node] = raw
+        if len(held) > 1:
+            yield found()
+
+    made = texts.mapInArrow(sets, "component long, node long, block int, blocks int, shingles binary")
+    met = made.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meeting = F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))
+    together = met.select(meeting.alias("key"), "node", "shingles").repartition("key")
+    return together.sortWithinPartitions("key").mapInArrow(links, "u long, v long")
+
+
 def duplicate_ids(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """``(doc_id, component_id)`` of the documents that are near-duplicates of one with a lesser id.
 
-    Texts are near-duplicates if their 256-bit sketches of five-word shingles are as close as those
-    of texts with a similarity of 0.8; they are searched by keys of minima of their shingles.
+    Texts are near-duplicates if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, or
+    others link them. Sets that share a key and have near sketches are candidates; every link
+    is decided by the sets themselves, one of each distinct set.
     """
+    def described(hashes: np.ndarray) -> tuple[int, int, bytes, bytes]:
+        return set_name(hashes), len(hashes), *sketch(hashes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [sketch(t.as_py()) for t in batch.column("text")]
+        for batch in sliced(batches):
+            made = [described(shingle_set(t.as_py())) for t in batch.column("text")]
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), pa.array([s for s, _ in made], pa.binary()),
-                    pa.array([p for _, p in made], pa.binary()),
-                ],
-                ["doc_id", "search", "print"],
+                [batch.column("doc_id"), *(pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds))],
+                ["doc_id", "node", "size", "search", "print"],
             )
 
     known = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    made = stored(known.mapInArrow(run, "doc_id long, search binary, print binary"))
-    classes = stored(made.groupBy("search", "print").agg(F.min("doc_id").alias("node")))
-    found = components(linked(classes, each_key, SKETCH_BITS, SKETCH_WORDS, bucket))
-    named = classes.join(found, "node", "left").select(
-        "search", "print", F.coalesce("component", "node").alias("component_id")
+    made = stored(known.mapInArrow(run, "doc_id long, node long, size long, search binary, print binary"))
+    classes = stored(
+        made.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("size", "search", "print")])
     )
-    return made.join(named, ["search", "print"]).filter(F.col("doc_id") != F.col("component_id")).select(
-        "doc_id", "component_id"
+    near = components(linked(classes, each_key, SKETCH_BITS, SKETCH_WORDS, bucket))
+    groups = classes.join(near, "node").select("node", "component", "size", "least_id")
+    found = components(similar(known, groups))
+    named = classes.join(found, "node", "left").select(
+        "node", "least_id", F.coalesce("component", "node").alias("component")
     )
+    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    return made.select("doc_id", "node").join(named.join(least, "component"), "node").filter(
+        F.col("doc_id") != F.col("component_id")
+    ).select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
