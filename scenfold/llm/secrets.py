@@ -43,12 +43,17 @@ CLASSES = (
     ("entropy_hex", re.compile(r"[0-9A-Fa-f]{20,}"), 3.0),
     ("entropy_base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.75),
 )
+# Letters of one case, capitalised or camel case words.
+PLAIN = r"(?:[A-Z]+|[a-z]+(?:[A-Z][a-z]{2,})*|(?:[A-Z][a-z]{2,})+)"
+# A date, and a time if there is one; what follows is judged by itself.
+DATE = re.compile(
+    r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T_-]?[0-9]{2}(?:-?[0-9]{2}){0,2}(?:Z|(?![0-9A-Za-z])))?[+/_=-]*"
+)
 ALLOWED = (
-    re.compile(r"[^0-9]*"),  # no digit
+    re.compile(rf"[+/_=-]*{PLAIN}(?:[+/_=-]+{PLAIN})*[+/_=-]*"),  # words without a digit
     re.compile(r"[0-9+/_=-]*"),  # no letter
     re.compile(r"(.)\1*"),  # one character
-    re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}.*"),  # a date
-    re.compile(r"[A-Za-z]+(?:[/_=-]+(?:[A-Za-z]+|[0-9]{1,4}))+"),  # a path or a compound of words and short numbers
+    re.compile(rf"{PLAIN}(?:[/_=-]+(?:{PLAIN}|[0-9]{{1,4}}))+"),  # a path or a compound of words and short numbers
     re.compile(r"[A-Z]?[a-z]+[0-9]{1,4}"),  # a word with a number
 )
 TERMS = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
@@ -97,6 +102,10 @@ def high_windows(run: str, least: float) -> Iterator[tuple[int, int]]:
 
 
 def allowed(candidate: str) -> bool:
+    if date := DATE.match(candidate):
+        candidate = candidate[date.end() :]
+        if len(candidate) < WINDOW:
+            return True
     return any(p.fullmatch(candidate) for p in ALLOWED)
 
 

@@ -515,6 +515,17 @@ def test_mixed_documents_repeat_as_counted(spark):
     assert found == {i: n for i, n in copies.items() if n} and max(copies.values()) <= 3
 
 
+def test_letters_alone_and_dates_do_not_hide_secrets():
+    key = "xKqZpLmNvBtRwYsDfGhJ"
+    for text in (key, f"a {key} b", "kQzXvBnM/pLwErTyUiOpAs", "2024-05-06" + "xK9qZpL4mNvBtRw7YsDfGhJ"):
+        assert secrets.entropy_spans(text), text
+    for text in (
+        "abcdefghijklmnopqrstuvw", "ABCDEFGHIJKLMNOPQRSTUVW", "someVeryLongCamelCaseName", "path/to/ThatLongFile_Name",
+        "2024-05-06T10-11-12Z_build", "2024-05-06_path/to/that-long-file", "word-and-word-2024-word",
+    ):
+        assert not secrets.entropy_spans(text), text
+
+
 # --- Pipeline ----------------------------------------------------------------------------------
 
 
