@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from scenfold.sources.storage import checkpoint_dir
 
-from . import classifier, coder, hmm, imatch, mixing, packing, rules, secrets, sharding, simhash
+from . import (
+    classifier, coder, hmm, imatch, merkle, mixing, packing, rules, secrets, sharding, simhash,
+)
 from .common import documents, labels
 from .tokens import public_path
 
@@ -101,3 +103,9 @@ def op10_mixing(spark, sf_dir):
         "doc_id", "size", "source_size", "target",
         (F.col("size") * F.col("copies")).alias("taken"),
     )
+
+
+@query
+def op12_merkle(spark, sf_dir):
+    """The manifest of all documents, with one in seven tampered with before its proof is checked."""
+    return merkle.proven(merkle.manifest(documents(spark, sf_dir), merkle.with_added_chars()))
