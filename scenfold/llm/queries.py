@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from scenfold.sources.storage import checkpoint_dir
 
 from . import (
-    classifier, coder, hmm, imatch, merkle, mixing, packing, rules, secrets, sharding, simhash,
+    classifier, coder, hmm, imatch, merkle, mixing, packing, phrases, rules, secrets,
+    sharding, simhash,
 )
 from .common import documents, labels
 from .tokens import public_path
@@ -109,3 +110,8 @@ def op10_mixing(spark, sf_dir):
 def op12_merkle(spark, sf_dir):
     """The manifest of all documents, with one in seven tampered with before its proof is checked."""
     return merkle.proven(merkle.manifest(documents(spark, sf_dir), merkle.with_added_chars()))
+
+
+@query
+def op13_collocations(spark, sf_dir):
+    return phrases.collocations(documents(spark, sf_dir))
