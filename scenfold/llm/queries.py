@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from scenfold.sources.storage import checkpoint_dir
 
 from . import (
-    classifier, coder, hmm, imatch, merkle, mixing, packing, phrases, rules, secrets,
+    classifier, coder, hmm, imatch, merkle, mixing, neighbours, packing, phrases, rules, secrets,
     sharding, simhash,
 )
-from .common import documents, labels
+from .common import documents, embeddings, labels
 from .tokens import public_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +115,9 @@ def op12_merkle(spark, sf_dir):
 @query
 def op13_collocations(spark, sf_dir):
     return phrases.collocations(documents(spark, sf_dir))
+
+
+@query
+def op11_neighbours(spark, sf_dir):
+    """The ten nearest vectors of every vector whose id is divisible by 100."""
+    return neighbours.nearest(embeddings(spark, sf_dir), F.col("vec_id") % 100 == 0)
