@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, content, with_value, words
+from .common import SPACES, content, stored, with_value, words
 
 BUCKETS = 1 << 17
 SMOOTHING = 1.0
@@ -65,17 +65,24 @@ def repeated_words(w: Column, width: int = 3) -> Column:
     return F.when(F.size(w) <= width, 0).otherwise(with_value(windows, counted)).cast("long")
 
 
-def base_counts(text: Column) -> dict[str, Column]:
-    """The counts of the base rules, by name."""
+def line_counts(text: Column) -> dict[str, Column]:
+    """The counts of the base rules that words are not needed for, by name."""
     plain = content(text)
     lines = F.filter(F.split(plain, "\n"), lambda line: line.rlike(WORD_CHAR))
     return {
-        "n_words": F.size(words(text)).cast("long"),
         "word_chars": F.length(F.regexp_replace(plain, SPACES, "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(plain, SYMBOLS, "")).cast("long"),
         "n_dup_lines": with_value(
             lines, lambda kept: F.size(kept) - F.size(F.array_distinct(kept))
         ).cast("long"),
+    }
+
+
+def base_counts(text: Column) -> dict[str, Column]:
+    """The counts of the base rules, by name."""
+    return {
+        "n_words": F.size(words(text)).cast("long"),
+        **line_counts(text),
         "n_repeat_words": with_value(words(text), repeated_words),
     }
 
@@ -109,6 +116,7 @@ def ratio_weights(
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.sum("is_trusted").alias("trusted"))
     )
+    counts = stored(counts)  # at most a row per bucket; read twice
     every = (
         docs.sparkSession.range(buckets)
         .select(F.col("id").cast("int").alias("bucket"))
@@ -141,21 +149,33 @@ def judged(
     weights = ratio_weights(docs, trusted, buckets, smoothing).agg(listed).first()[0]
     weights = F.split(F.lit(weights), ",").cast("array<bigint>")  # folded into one literal
 
-    def mean_weight(values: Column) -> Column:
+    def mean_weight(values: Column, w: Column) -> Column:
         def over(found: Column) -> Column:
             total = F.aggregate(
                 found, F.lit(0).cast("long"), lambda acc, b: acc + F.get(values, b)
             )
             return F.when(F.size(found) > 0, total / F.size(found) / UNIT)
 
+        return with_value(ngram_buckets(w, buckets), over)
+
+    def of_words(values: Column) -> Column:
+        """What is made of a text's words, which are split once."""
         return with_value(
-            with_value(words(F.col("text")), lambda w: ngram_buckets(w, buckets)), over
+            words(F.col("text")),
+            lambda w: F.struct(
+                F.size(w).cast("long").alias("n_words"),
+                repeated_words(w).alias("n_repeat_words"),
+                mean_weight(values, w).alias("log_ratio"),
+            ),
         )
 
     counted = docs.select(
         "doc_id",
-        *[c.alias(name) for name, c in base_counts(F.col("text")).items()],
-        with_value(weights, mean_weight).alias("log_ratio"),
+        with_value(weights, of_words).alias("by_words"),
+        *[c.alias(name) for name, c in line_counts(F.col("text")).items()],
+    ).select(
+        "doc_id", "by_words.n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "by_words.n_repeat_words", "by_words.log_ratio",
     )
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")
