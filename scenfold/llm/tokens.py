@@ -1,6 +1,6 @@
 """Token ids of texts, with the library ``tokenizers``.
 
-A text is cut at white space where the tokenizer cuts it anyway, and the ids of each part are kept:
+A text is cut at white space where the tokenizer cuts it anyway (line breaks too), and the ids of each part are kept:
 most parts of a corpus come again and again. Texts in which such a cut might not be the tokenizer's (special tokens, rare
 white space, spaces side by side) are encoded whole, so the ids are those of ``encode(text, add_special_tokens=False)``.
 """
@@ -19,6 +19,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parall
 
 # White space that is not ASCII, and separators that some definitions count as white space.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# A line break alone between words is a token of its own, with nothing around it.
+LINE_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
 SPACES_TOGETHER = ("  ", "\t ", "\n ", "\x0b ", "\x0c ", "\r ")
 KEPT_PARTS = 900_000
 PUNCTUATION = ".,;:!?*#%&$|"
@@ -86,6 +88,8 @@ class Encoder:
             return text.split()
         if any(s in text for s in SPACES_TOGETHER):
             return None
+        if "\n" in text:
+            text = LINE_BREAK.sub(f" {PLAIN}\n {PLAIN}", text)
         first, *rest = text.split(" ")
         # A part stands for itself after a space; the first has none, which the mark tells.
         return [PLAIN + first, *rest] if first else rest
@@ -94,8 +98,9 @@ class Encoder:
         """Ids of parts that are not kept; trailing punctuation after letters is a token of its own."""
         cores = {p: p.rstrip(PUNCTUATION) for p in parts}
         split = {p: p[len(c) :] for p, c in cores.items() if c != p and c.isalpha()}
-        wanted = list({cores[p] if p in split else p for p in parts} - self.kept.keys())
-        wanted += list({PLAIN + tail for tail in split.values()} - self.kept.keys())
+        kept = self.kept  # membership of few parts; a difference of sets would walk all that is kept
+        wanted = [p for p in {cores[p] if p in split else p for p in parts} if p not in kept]
+        wanted += [p for p in {PLAIN + tail for tail in split.values()} if p not in kept]
         found = {p: ids for p in wanted if (ids := self.word(p)) is not None}
         others = [p for p in wanted if p not in found]
         if self.kind == BYTE_LEVEL:
