@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .tokens import WORD_LEVEL, encoder
 
-MAGIC, VERSION = b"CMRC", 1
+MAGIC, VERSION = b"CMRC", 2
 HEADER = struct.Struct("<4sHHIII")  # magic, version, bits of an id, ids, lanes, checksum
 BLOCK = 1 << 21
 LANES, LANE_IDS = 4096, 256
@@ -41,12 +41,13 @@ ID_BITS = 16
 TOTAL_BITS = 26  # of the interval that a step divides
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 LEAST, MOST = 64, 62500  # chances, of 65536, that a prediction may have
-FREQUENCY_BITS = 17
+FREQUENCY_BITS = 20  # ids not yet seen keep a 16th of the shares
 FREQUENCY_TOTAL = 1 << FREQUENCY_BITS
-WARM_STEPS = 64  # all of which adapt the chances; later, every fourth does
-REFRESH = 8  # steps between two tables of order-0 frequencies
+WARM_STEPS = 64  # all of which adapt the chances; later, every eighth does
+REFRESH = 16  # steps between two tables of order-0 frequencies
 HASH_BITS = 18
-CONFIDENCE = 15
+TRUST_BITS = 4
+CONFIDENCE = (1 << TRUST_BITS) - 1
 WEIGHT_ONE = 1 << 16
 
 
@@ -62,93 +63,100 @@ SQUASH, STRETCH = logistic_tables()
 
 
 class Model:
-    """Predictions for a step of lanes, from all steps before it."""
+    """Predictions for a step of lanes, from all steps before it.
+
+    A prediction is one number: the id, and below it ``TRUST_BITS`` bits of how often it was right.
+    """
 
     def __init__(self):
         size = 1 << ID_BITS
         self.counts = np.zeros(size, np.int64)
         self.pending: list[np.ndarray] = []
         self.steps = 0
-        self.second = np.zeros(1 << HASH_BITS, np.int64)
-        self.second_trust = np.zeros(1 << HASH_BITS, np.int64)
-        self.first = np.zeros(size, np.int64)
-        self.first_trust = np.zeros(size, np.int64)
+        self.second = np.zeros(1 << HASH_BITS, np.int32)
+        self.first = np.zeros(size, np.int32)
         n = CONFIDENCE + 1
         self.by_second = np.full(n, 4096, np.int64)
         self.by_first = np.full(2 * n, 4096, np.int64)
-        self.by_frequency = np.full(20, 2048, np.int64)
+        self.by_frequency = np.full(FREQUENCY_BITS + 2, 2048, np.int64)
         self.alone = np.full(n, 4096, np.int64)  # of the order-1 prediction after the other failed
         self.weights = np.full(3, WEIGHT_ONE * 2 // 5, np.int64)
         self.refresh()
+        self.weighed()
 
     def refresh(self) -> None:
+        """New shares of the ids from their counts; every id has one, so any can be coded."""
         if self.pending:
             self.counts += np.bincount(np.concatenate(self.pending), minlength=len(self.counts))
             self.pending = []
         room = FREQUENCY_TOTAL - len(self.counts)
         share = 1 + self.counts * room // max(1, int(self.counts.sum()))
         share[self.counts.argmax()] += FREQUENCY_TOTAL - int(share.sum())
-        self.cumulative = np.concatenate([[0], np.cumsum(share)])
-        self.id_at = np.repeat(np.arange(len(share), dtype=np.uint16), share)
-        self.magnitude = np.frexp(share.astype(np.float64))[1].astype(np.int64)  # bits of a share
+        self.cumulative = np.zeros(len(share) + 1, np.int64)
+        np.cumsum(share, out=self.cumulative[1:])
+        self.id_at = None  # decoding alone needs it
+        self.magnitude = np.frexp(share.astype(np.float32))[1].astype(np.int32)  # bits of a share
+
+    def weighed(self) -> None:
+        """The inputs and their weighted parts by context."""
+        self.stretched = [STRETCH[x >> 4] for x in (self.by_second, self.by_first, self.by_frequency)]
+        self.parts = [w * x for w, x in zip(self.weights.tolist(), self.stretched, strict=True)]
+        self.single = self.alone.clip(LEAST, MOST)
 
     def predict(self, before: np.ndarray, last: np.ndarray) -> None:
         """Set the predictions ``p2`` and ``p1`` and the ends of their parts of the interval."""
         self.at2 = ((before * 40503 + last) * 2654435761 >> 12) & ((1 << HASH_BITS) - 1)
         self.at1 = last
-        self.p2, self.p1 = self.second[self.at2], self.first[last]
-        self.trust2, self.trust1 = self.second_trust[self.at2], self.first_trust[last]
-        self.same = self.p2 == self.p1
-        self.context1 = 2 * self.trust1 + self.same
-        self.context0 = self.magnitude[self.p2]
-        self.inputs = [
-            STRETCH[self.by_second[self.trust2] >> 4],
-            STRETCH[self.by_first[self.context1] >> 4],
-            STRETCH[self.by_frequency[self.context0] >> 4],
-        ]
-        mixed = sum(w * x for w, x in zip(self.weights.tolist(), self.inputs, strict=True)) >> 16
-        self.chance = SQUASH[mixed.clip(-2047, 2047) + 2047].clip(LEAST, MOST)
-        single = self.alone[self.trust1].clip(LEAST, MOST)
-        single[self.same] = LEAST
-        whole = 1 << TOTAL_BITS
+        self.held2, self.held1 = self.second[self.at2], self.first[last]
+        self.p2, self.p1 = self.held2 >> TRUST_BITS, self.held1 >> TRUST_BITS
+        self.trust2, self.trust1 = self.held2 & CONFIDENCE, self.held1 & CONFIDENCE
+        same = self.p2 == self.p1
+        self.contexts = (self.trust2, 2 * self.trust1 + same, self.magnitude[self.p2])
+        mixed = sum(part[at] for part, at in zip(self.parts, self.contexts, strict=True)) >> 16
+        self.chance = SQUASH[np.clip(mixed, -2047, 2047, out=mixed) + 2047]
+        single = np.where(same, LEAST, self.single[self.trust1])
         self.end2 = self.chance << (TOTAL_BITS - 16)
-        self.end1 = self.end2 + ((whole - self.end2) * single >> 16)
-        self.rest = whole - self.end1
+        self.end1 = self.end2 + (((1 << TOTAL_BITS) - self.end2) * single >> 16)
+        self.rest = (1 << TOTAL_BITS) - self.end1
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and width of the ids' parts of the interval."""
+        self.hit1, self.hit2 = ids == self.p1, ids == self.p2
         low = self.end1 + (self.cumulative[ids] * self.rest >> FREQUENCY_BITS)
         high = self.end1 + (self.cumulative[ids + 1] * self.rest >> FREQUENCY_BITS)
-        hit = np.nonzero(ids == self.p1)[0]
+        hit = np.flatnonzero(self.hit1)
         low[hit], high[hit] = self.end2[hit], self.end1[hit]
-        hit = np.nonzero(ids == self.p2)[0]
+        hit = np.flatnonzero(self.hit2)
         low[hit], high[hit] = 0, self.end2[hit]
         return low, high - low
 
     def ids_in(self, value: np.ndarray) -> np.ndarray:
         """The ids whose part of the interval has the value."""
-        ids = self.p1.copy()
-        other = np.nonzero(value >= self.end1)[0]
+        ids = np.where(value < self.end2, self.p2, self.p1).astype(np.int64)
+        other = np.flatnonzero(value >= self.end1)
         inside = value[other] - self.end1[other] + 1
         place = ((inside << FREQUENCY_BITS) - 1) // self.rest[other]
+        if self.id_at is None:
+            every = np.arange(len(self.counts), dtype=np.uint16)
+            self.id_at = np.repeat(every, np.diff(self.cumulative))
         ids[other] = self.id_at[np.minimum(place, FREQUENCY_TOTAL - 1)]
-        hit = np.nonzero(value < self.end2)[0]
-        ids[hit] = self.p2[hit]
         return ids
 
     def update(self, ids: np.ndarray) -> None:
-        hit = ids == self.p2
-        if self.steps % 4 == 0 or self.steps < WARM_STEPS:
-            missed = ~hit
-            error = (hit.astype(np.int64) << 16) - self.chance
-            for i, x in enumerate(self.inputs):
-                self.weights[i] += int((x * error).sum()) // (len(ids) * 2048)
-            adapt(self.by_second, self.trust2, hit)
-            adapt(self.by_first, self.context1, hit)
-            adapt(self.by_frequency, self.context0, hit)
-            adapt(self.alone, self.trust1[missed], (ids == self.p1)[missed])
-        learn(self.second, self.second_trust, self.at2, ids, hit, self.trust2)
-        learn(self.first, self.first_trust, self.at1, ids, ids == self.p1, self.trust1)
+        """Learn from the ids of a step, after ``interval``."""
+        hit1, hit2 = self.hit1, self.hit2
+        if self.steps % 8 == 0 or self.steps < WARM_STEPS:
+            missed = ~hit2
+            error = (hit2.astype(np.int64) << 16) - self.chance
+            for i, (x, at) in enumerate(zip(self.stretched, self.contexts, strict=True)):
+                self.weights[i] += int((x[at] * error).sum()) // (len(ids) * 2048)
+            for chances, at in zip((self.by_second, self.by_first, self.by_frequency), self.contexts, strict=True):
+                adapt(chances, at, hit2)
+            adapt(self.alone, self.trust1[missed], hit1[missed])
+            self.weighed()
+        fresh = (ids.astype(np.int32) << TRUST_BITS) + 1
+        self.second[self.at2] = learned(self.held2, self.trust2, hit2, fresh)
+        self.first[self.at1] = learned(self.held1, self.trust1, hit1, fresh)
         self.pending.append(ids)
         self.steps += 1
         if self.steps % REFRESH == 0 or self.steps < REFRESH:
@@ -163,14 +171,10 @@ def adapt(chances: np.ndarray, contexts: np.ndarray, hits: np.ndarray) -> None:
     np.clip(chances, LEAST, 65535 - LEAST, out=chances)
 
 
-def learn(ids, trust, at, seen, hit, before) -> None:
-    """A right prediction gains trust; a wrong one loses it, and is replaced when it has none."""
-    after = before >> 1
-    after[hit] = np.minimum(before[hit] + 1, CONFIDENCE)
-    replaced = np.nonzero(~hit & (before <= 1))[0]
-    after[replaced] = 1
-    ids[at[replaced]] = seen[replaced]
-    trust[at] = after
+def learned(held: np.ndarray, trust: np.ndarray, hit: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """A right prediction gains trust; a wrong one loses half, and is replaced when it has none."""
+    lost = np.where(trust <= 1, fresh, held - trust + (trust >> 1))
+    return np.where(hit, held + (trust < CONFIDENCE), lost)
 
 
 def lanes_of(n: int) -> tuple[int, np.ndarray]:
@@ -222,17 +226,18 @@ def encode_block(ids: np.ndarray) -> bytes:
 
 def renormalized(low: np.ndarray, width: np.ndarray, shifted) -> None:
     """Shift out the 16-bit words that are settled, or end an interval that is too narrow."""
-    while True:
-        settled = (low ^ (low + width)) < TOP
-        narrow = ~settled & (width < BOTTOM)
-        at = np.nonzero(settled | narrow)[0]
-        if not len(at):
+    at = np.arange(len(low))
+    while len(at):
+        lows, widths = low[at], width[at]
+        settled = (lows ^ (lows + widths)) < TOP
+        due = settled | (widths < BOTTOM)
+        if not due.any():
             return
-        cut = np.nonzero(narrow)[0]
-        width[cut] = (~low[cut] + np.uint64(1)) & (BOTTOM - np.uint64(1))
+        at, lows, widths = at[due], lows[due], widths[due]
+        cut = ~settled[due]
+        widths[cut] = (~lows[cut] + np.uint64(1)) & (BOTTOM - np.uint64(1))
         shifted(at)
-        low[at] <<= np.uint64(16)
-        width[at] <<= np.uint64(16)
+        low[at], width[at] = lows << np.uint64(16), widths << np.uint64(16)
 
 
 def decode_block(block: bytes) -> np.ndarray:

@@ -296,6 +296,7 @@ def test_cut_texts_have_the_tokenizers_ids(rows, name, kind):
     odd = [
         "", " ", "a  b", " x y ", "foo\n bar", "it's <|endoftext|>x", "a  b  c", "\tq \n",
         "é ́x", "x\0y z", "café, İstanbul. ΣΑΣ!", "a \n", "a!!! b?.",
+        "one\ntwo\n\nthree.\nFour", "\nx\n", "x\n's\n\ty", "a\t\nb \nc\n d", "12\n34\n#5\n\x1c6",
     ]
     for text in [r.text for r in rows] + odd:
         plain = np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -312,6 +313,14 @@ def test_block_round_trips():
     assert len(coder.encode_block(np.tile(draw.integers(0, 9999, 700), 40))) < 28_000
 
 
+def test_a_block_of_documents_takes_less_than_its_order_0_entropy(spark):
+    texts = [r.text or "" for r in read_documents(spark, "/root/testdata/sf0.01").orderBy("doc_id").collect()]
+    encoder = tokens.Encoder(tokens.public_path("word_bpe_49k.json"), tokens.WORD_LEVEL)
+    ids = np.frombuffer(b"".join(encoder.encode(texts)), "<u4")
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    assert 8 * len(coder.encode_block(ids)) < -(share * np.log2(share)).sum() * len(ids)
+
+
 def test_damaged_blocks_are_refused():
     block = coder.encode_block(np.arange(2000) % 50)
     for damaged in (block[:-1], block[:10], b"", block[:-9] + bytes([block[-9] ^ 1]) + block[-8:], b"x" + block[1:]):
