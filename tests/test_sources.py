@@ -176,3 +176,72 @@ def test_the_reporting_table_is_exported_at_load(spark, tmp_path):
     load_scenarios(spark, {"Ref": f"{tmp_path}/run"}, csv=f"{tmp_path}/out")
     found = spark.read.option("header", True).csv(f"{tmp_path}/out").collect()
     assert [(r.Attribute, r.Year, r.Value, r.Scenario) for r in found] == [("GDP", "2020", "1.5", "Ref")]
+
+
+def scans(df, kind="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), kind)().toString()
+
+
+def test_many_scenarios_are_one_scan(spark, tmp_path):
+    """300 scenarios plan in seconds; a filter on scenario or case opens only its files."""
+    import shutil
+    import time
+
+    agy = "G string, R string, t string, Value double"
+    write_run(spark, tmp_path / "run 0", "agy", agy, ("X", "u", "2020", 1.0))
+    for i in range(1, 300):
+        shutil.copytree(tmp_path / "run 0", tmp_path / f"run {i}")
+    runs = {f"s{i}": {"path": str(tmp_path / f"run {i}"), "case": f"c{i % 3}"} for i in range(300)}
+    began = time.time()
+    agy = load_scenarios(spark, runs, check_empty=False)["agy"]
+    planned = agy.groupBy("Scenario").count()
+    assert scans(planned, "executedPlan").count("FileScan") == 1
+    assert time.time() - began < 60
+    assert {r["Scenario"]: r["count"] for r in planned.collect()} == {s: 1 for s in runs}
+    for predicate, n in (("Scenario = 's17'", 1), ("Case = 'c1'", 100), ("Scenario = 'none'", 0)):
+        found = agy.filter(predicate)
+        assert len(found.collect()) == n
+        assert files_read(found) == n
+    assert {(r["Scenario"], r["Case"]) for r in agy.filter("Scenario = 's17'").collect()} == {("s17", "c2")}
+
+
+def files_read(df):
+    """Files that the scan of a plan that has run has opened."""
+    qe = df._jdf.queryExecution()
+    plan = qe.executedPlan()
+    plan.execute().count()
+    leaves = plan.collectLeaves()
+    scan = leaves.apply(0)
+    return scan.metrics().apply("numFiles").value()
+
+
+def test_scenarios_may_share_a_dataset_or_store_it_otherwise(spark, tmp_path):
+    agy = "G string, Value double"
+    write_run(spark, tmp_path / "a", "agy", agy, ("X", 1.0))
+    write_run(spark, tmp_path / "b", "agy", agy, ("Y", 2.0))
+    frame(spark, "G string, p int, Value double", ("Z", 1, 3.0)).write.partitionBy("p").parquet(str(tmp_path / "c" / "agy"))
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "d").mkdir()
+    pq.write_table(pa.table({"G": ["W"], "Value": [4.0]}), tmp_path / "d" / "agy.parquet")
+    runs = {"a": str(tmp_path / "a"), "twin": {"path": str(tmp_path / "a"), "case": "k"}, "b": str(tmp_path / "b"),
+            "d": str(tmp_path / "d")}
+    catalog = load_scenarios(spark, runs)
+    assert {(r["Scenario"], r["Case"], r["Value"]) for r in catalog["agy"].collect()} == {
+        ("a", None, 1.0), ("twin", "k", 1.0), ("b", None, 2.0), ("d", None, 4.0)
+    }
+    assert values(load_scenarios(spark, {"c": str(tmp_path / "c")})["agy"], "G") == {"Z": 3.0}
+
+
+def test_emptiness_is_read_from_footers(spark, tmp_path):
+    write_run(spark, tmp_path / "a", "x", "G string, Value double", ("X", None))
+    write_run(spark, tmp_path / "b", "x", "G string, Value double", (None, float("nan")))
+    write_run(spark, tmp_path / "c", "x", "G string, Value double", (None, 2.0))
+    write_run(spark, tmp_path / "d", "x", "G string, Value double", (None, None))
+    runs = {n: str(tmp_path / n) for n in "abcd"}
+    assert set(values(load_scenarios(spark, runs)["x"], "Scenario")) == {"a", "c"}
+    part = symbols.read_part(spark, str(tmp_path / "a" / "x"), "parquet")
+    counts = symbols.filled_counts(symbols.footer_session(spark), {"a": (str(tmp_path / "a" / "x"), part.schema)})
+    assert "PushedAggregation: [COUNT(G), COUNT(Value)]" in counts._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in counts.collect()] == [("a", [1, 0])]
