@@ -8,7 +8,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_ARROW_TYPES = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+_ARROW_TYPES = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
 
 
 def literal_frame(spark: SparkSession, schema: str, rows: Sequence[Sequence[Any]]) -> DataFrame:

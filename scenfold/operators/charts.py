@@ -11,7 +11,8 @@ from pyspark.sql import Window
 from scenfold.functions.literals import literal_frame
 from scenfold.functions.scalars import neg, pos, zero_if_null
 from scenfold.model import SCENARIO, VALUE, YEAR
-from scenfold.operators.aggregates import agg_sum, series_total
+from scenfold.operators.aggregates import agg_sum
+from scenfold.operators.ordering import by_total_desc, numbered
 
 #: Fallback colors: trade and generation charts, and GDP charts.
 DEFAULT_COLOR = "#999999"
@@ -61,19 +62,16 @@ def axis_midpoints(
 ) -> DataFrame:
     """CHT-3, AGG-9: mean bar position per scenario, bars counted from 0.
 
-    Bars sort by scenario, then year, so a scenario's bars are contiguous and their mean position
-    is the number of bars before it plus ``(bars - 1) / 2``. Only bar counts per scenario are
-    needed: bars are never numbered in one task. The running sum spans one row per scenario.
+    Bars sort by scenario, then year. They are numbered in ranges, never in one task.
     ``order`` names a column with the scenario rank (registry order), by default the name itself.
+    A scenario whose years are all missing has no bars and no position.
     """
-    rank = order or scenario
-    bars = df.groupBy(scenario).agg(
-        F.countDistinct(year).alias("bars"), F.min(rank).alias("__rank")
-    )
-    before = Window.orderBy("__rank", scenario).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("bars").over(before), F.lit(0))
-    return bars.select(
-        scenario, "bars", (start + (F.col("bars") - 1) / 2.0).cast("double").alias("position")
+    of_scenario = Window.partitionBy(scenario)  # its years
+    bars = df.groupBy(scenario, year).agg(F.min(order or scenario).alias("__rank"))
+    known = bars.withColumn("__first", F.min("__rank").over(of_scenario)).filter(F.col(year).isNotNull())
+    placed = numbered(known, "__first", scenario, year, name="__bar", first=0)
+    return placed.groupBy(scenario).agg(
+        F.count("*").alias("bars"), F.avg("__bar").alias("position")
     )
 
 
@@ -81,10 +79,7 @@ def legend_order(
     df: DataFrame, series: str, value: str = VALUE, *, reverse: bool = False
 ) -> DataFrame:
     """CHT-4: series with their totals, largest first, or smallest first as legends list them."""
-    totals = series_total(df, series, value)
-    if reverse:
-        return totals.orderBy(F.asc(value), F.desc(series))
-    return totals.orderBy(F.desc(value), F.asc(series))
+    return by_total_desc(df, series, value, reverse=reverse)
 
 
 def series_style(

@@ -38,8 +38,15 @@ def eq(df: DataFrame, col: str, value: str) -> DataFrame:
     return df.filter(F.col(col) == F.lit(value))
 
 
-def isin(df: DataFrame, col: str, values: Sequence[str]) -> DataFrame:
-    """FIL-2: membership, as one predicate (a hash set) however long the list is."""
+def isin(df: DataFrame, col: str, values: Sequence[str] | DataFrame) -> DataFrame:
+    """FIL-2: membership, as one predicate (a hash set) of a list that the caller holds.
+
+    Labels in a frame, those of its only column, are a left semi-join: repeats and nulls in them do not matter, and Spark
+    chooses by size how to join, and whether a Bloom filter of the labels thins the rows out before they are shuffled.
+    """
+    if isinstance(values, DataFrame):
+        labels = values.toDF("__label")
+        return df.join(labels, F.col(col) == F.col("__label"), "left_semi")
     return df.filter(F.col(col).isin(list(values)))
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Collection, Mapping, Sequence
 from itertools import chain
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from scenfold.functions.literals import literal_frame
@@ -13,6 +14,7 @@ from scenfold.functions.scalars import safe_div
 from scenfold.model import SCENARIO, TIME, VALUE
 
 _PART = "__part"
+MISSING = "(missing)"
 
 
 def union_all(*frames: DataFrame) -> DataFrame:
@@ -27,10 +29,14 @@ def union_all(*frames: DataFrame) -> DataFrame:
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """LIM-1: the row with the smallest ``order`` per key, in one aggregate."""
+    """LIM-1: the row with the smallest ``order`` per key, in one aggregate.
+
+    Rows with an equal ``order`` are told apart by their other columns; a missing one comes last.
+    """
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("__row"))
-    return picked.select(*keys, "__row.*")
+    ranked = F.struct(F.col(order).isNull().alias("none"), F.col(order).alias("first"), F.struct(*rest).alias("row"))
+    picked = df.groupBy(*keys).agg(F.min(ranked).alias("__row"))
+    return picked.select(*keys, "__row.row.*")
 
 
 def left_on(
@@ -127,11 +133,14 @@ def convert(
     on: str = "R",
     value: str = VALUE,
     strict: bool = False,
+    observed: Observation | None = None,
 ) -> DataFrame:
     """JOIN-2: divide by the factor of the row's region through a broadcast join.
 
     ``factors`` is the conversion table of one sector. A region without a factor gives NULL;
     with ``strict`` the running query fails instead, without a separate counting job.
+    ``observed`` counts such rows, and lists their regions, while the query runs (Q23): after its action,
+    ``require_matched`` fails with all of them.
     """
     table = literal_frame(
         df.sparkSession, f"{on} string, __factor double", list(factors.items())
@@ -142,11 +151,36 @@ def convert(
             factor,
             F.raise_error(F.concat(F.lit("no conversion factor for "), F.col(on))).cast("double"),
         )
-    return (
-        df.join(F.broadcast(table), on, "left")
-        .withColumn(value, safe_div(F.col(value), factor))
-        .drop("__factor")
-    )
+    joined = df.join(F.broadcast(table), on, "left")
+    if observed is not None:
+        unmatched = F.col("__factor").isNull()
+        label = F.coalesce(F.col(on), F.lit(MISSING))
+        joined = joined.observe(
+            observed,
+            F.count("*").alias("rows"),
+            F.count_if(unmatched).alias("unmatched"),
+            F.sort_array(F.collect_set(F.when(unmatched, label))).alias("labels"),
+        )
+    return joined.withColumn(value, safe_div(F.col(value), factor)).drop("__factor")
+
+
+def require_matched(observed: Observation) -> dict[str, Any]:
+    """The counts of a ``convert`` whose action has run; ValueError if rows had no factor."""
+    counts = observed.get
+    if counts["unmatched"]:
+        listed = ", ".join(counts["labels"])
+        raise ValueError(
+            f"no conversion factor for {counts['unmatched']} of {counts['rows']} rows: {listed}"
+        )
+    return counts
+
+
+def unmatched_rows(
+    df: DataFrame, factors: Mapping[str, float], keys: Sequence[str] = (), *, on: str = "R"
+) -> DataFrame:
+    """JOIN-2: how many rows ``convert`` would leave without a factor, by ``on`` and ``keys``."""
+    known = F.coalesce(F.col(on).isin(list(factors)), F.lit(False))
+    return df.filter(~known).groupBy(on, *keys).agg(F.count("*").alias("unmatched"))
 
 
 def with_factor(

@@ -171,9 +171,9 @@ def steel_intensity(
 
 def steel_mix(
     catalog: Mapping[str, DataFrame], region: Value = "global", horizon: int = 2100, *,
-    strict: bool = False, meta: ModelMetadata = DEFAULT,
+    strict: bool = False, wide: bool = False, meta: ModelMetadata = DEFAULT,
 ) -> DataFrame:
-    """N-29: steel in Mt by technology.
+    """N-29: steel in Mt by technology; ``wide`` gives one column per technology.
 
     Conventional output is divided by the fitted shares; capture technologies are added where
     their symbols exist. Globally, energy and output are summed over regions before the fit.
@@ -196,11 +196,12 @@ def steel_mix(
         cell(tech, product(f"fit.x{i}", "output"), observed)
         for i, tech in enumerate(TECHNOLOGIES, start=1)
     ] + [cell(tech, F.col(f"`{tech}`"), F.col(f"`{tech}`").isNotNull()) for tech in ccs]
-    return (
+    mix = (
         df.select(SCENARIO, F.col(TIME).alias(YEAR), F.inline(F.array(*cells)))
         .filter("exists")
         .drop("exists")
     )
+    return widened(mix, wide, "Technology", [*TECHNOLOGIES, *ccs])
 
 
 __all__ = [

@@ -25,6 +25,8 @@ SUPPLIER_DIMS = ("RR",)
 PART_DIMS = ("G", "ne")
 MEASURES = ("price", "net", "qty", "disc", "tax", "n")
 
+GRAIN = "grain"  # which grouping set a row is of
+
 REFERENCE_SCENARIO = "1-URGENT"
 #: Sector standing for oil refining.
 REFINED_OIL = "LARGE"
@@ -275,9 +277,9 @@ def shared_catalog(
 ) -> SymbolCatalog:
     """Several symbols from one pass over the tables.
 
-    The fact view is summed once to the union of the symbols' dimensions and that small cube is
-    checkpointed; the symbols are then cheap sums of it. Without this an analysis over N symbols
-    would scan and join the order lines N times. ``where`` restricts the pass (it may use
+    The fact view is read once and summed by GROUPING SETS, one for every grain that a symbol has:
+    its own dimensions and those that its condition needs. What is checkpointed are the symbols' own rows, not the
+    cells of all dimensions together, which nearly as many as the facts may be. ``where`` restricts the pass (it may use
     ``where_dims`` besides the symbols' own dimensions).
     """
     aliases = {**{n: n for n in names}, **(aliases or {})}
@@ -289,5 +291,15 @@ def shared_catalog(
     needed = list(dict.fromkeys(needs))
     keys = [c for c in needed if c not in MEASURES]
     sums = [exact_sum(c).alias(c) for c in needed if c in MEASURES]
-    cube = cut(base.groupBy(*keys).agg(*sums))
-    return SymbolCatalog({name: symbol_frame(cube, spec) for name, spec in specs.items()})
+    grains = {name: tuple(k for k in keys if k in spec.needs) for name, spec in specs.items()}
+    sets = list(dict.fromkeys(grains.values()))
+    summed = base.groupingSets([list(s) for s in sets], *keys).agg(F.grouping_id().alias(GRAIN), *sums)
+    summed = cut(summed)
+
+    def grain(name: str) -> DataFrame:
+        """The rows of a symbol's grouping set: its id has a bit for every key that is not in it."""
+        bits = ("0" if k in grains[name] else "1" for k in keys)
+        own = summed.filter(F.col(GRAIN) == int("".join(bits), 2))
+        return own.select(*grains[name], *specs[name].measures)
+
+    return SymbolCatalog({name: symbol_frame(grain(name), spec) for name, spec in specs.items()})

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType, StructField, StructType
 
+from scenfold.functions.literals import literal_frame
 from scenfold.functions.scalars import null_if_nan
 from scenfold.model import (
     CASE,
@@ -48,6 +49,8 @@ TIME_RANGE = (2020, 2100)
 FORMATS = ("parquet", "csv")
 COMPRESSED = ("gz", "bz2", "zst", "deflate", "snappy", "lz4")
 SCHEMA_THREADS = 16
+REGISTRY = "_scenarios"  # beside the symbols that save_symbols writes; no symbol, by its name
+REGISTRY_SCHEMA = "scenario string, case string, path string, ord int"
 PROBED = 32  # parts whose footers one query counts
 
 
@@ -387,21 +390,31 @@ def load_symbol(
     return stacked
 
 
-def load_scenarios(
+def gate_report(
     spark: SparkSession,
     entries: Mapping[str, str | Mapping[str, str] | None],
-    time: tuple[int, int] = TIME_RANGE,
-    *,
     symbols: Sequence[str] | None = None,
-    check_empty: bool = True,
-    verbose: bool = False,
-    csv: str | None = None,
-) -> SymbolCatalog:
-    """SRC-2: every symbol of every reachable scenario, as a catalog of lazy frames.
+) -> DataFrame:
+    """SRC-5, SRC-6: ``(symbol, accepted, reason)`` of every symbol that the scenarios have.
 
-    Missing paths are skipped (and logged with ``verbose``). ``symbols`` restricts what is opened.
-    ``csv`` is a folder to write the reporting table to, if there is one.
+    Reads schemas only; emptiness is not asked for.
     """
+    rows = []
+    for name, parts in sorted(parts_by_symbol(spark, entries, symbols).items()):
+        frames = read_parts(spark, parts)
+        reason = refusal(name, list(frames.values()))
+        rows.append((name, reason is None, reason))
+    return literal_frame(spark, "symbol string, accepted boolean, reason string", rows)
+
+
+def parts_by_symbol(
+    spark: SparkSession,
+    entries: Mapping[str, str | Mapping[str, str] | None],
+    symbols: Sequence[str] | None = None,
+    *,
+    verbose: bool = False,
+) -> dict[str, list[Part]]:
+    """Every symbol's datasets in the scenario folders that exist."""
     found: dict[str, list[Part]] = {}
     scenarios = read_entries(entries)
     with ThreadPoolExecutor(SCHEMA_THREADS) as pool:
@@ -414,6 +427,25 @@ def load_scenarios(
         for name, stored in datasets.items():
             if symbols is None or name in symbols:
                 found.setdefault(name, []).append(Part(scenario, *stored))
+    return found
+
+
+def load_scenarios(
+    spark: SparkSession,
+    entries: Mapping[str, str | Mapping[str, str] | None],
+    time: tuple[int, int] = TIME_RANGE,
+    *,
+    symbols: Sequence[str] | None = None,
+    check_empty: bool = True,
+    verbose: bool = False,
+    csv: str | None = None,
+) -> SymbolCatalog:
+    """SRC-2: every symbol of every reachable scenario, as a catalog of lazy frames.
+
+    Missing paths are skipped (and logged with ``verbose``). ``symbols`` restricts what is opened.
+    ``csv`` is a folder to write the reporting table to, if there is one.
+    """
+    found = parts_by_symbol(spark, entries, symbols, verbose=verbose)
     loaded = {
         name: load_symbol(spark, name, parts, time, check_empty=check_empty)
         for name, parts in found.items()
@@ -434,10 +466,37 @@ def reporting_table(
     return time_range(table, YEAR, *time)
 
 
-def save_symbols(catalog: Mapping[str, DataFrame], path: str, mode: str = "errorifexists") -> None:
-    """Write each symbol as Parquet partitioned by scenario, for pruned reads of many scenarios."""
+def save_symbols(
+    catalog: Mapping[str, DataFrame],
+    path: str,
+    mode: str = "errorifexists",
+    *,
+    registry: DataFrame | None = None,
+) -> None:
+    """Write each symbol as Parquet partitioned by scenario, for pruned reads of many scenarios.
+
+    The registry is written beside them, so that scenarios can be chosen by what it says of them.
+    """
     for name, df in catalog.items():
         df.write.mode(mode).partitionBy(SCENARIO).parquet(f"{path}/{name}")
+    if registry is not None:
+        registry.write.mode(mode).parquet(f"{path}/{REGISTRY}")
+
+
+def open_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The registry that ``save_symbols`` has written."""
+    return spark.read.schema(REGISTRY_SCHEMA).parquet(f"{path}/{REGISTRY}")
+
+
+def of_case(df: DataFrame, registry: DataFrame, case: str) -> DataFrame:
+    """SRC-3: the rows of the scenarios that the registry has under a case, which is put in ``Case``.
+
+    The scenarios come from the registry while the query runs; over a dataset partitioned by scenario, Spark
+    prunes the folders of all others by them (dynamic partition pruning).
+    """
+    chosen = registry.filter(F.col("case") == case).select(F.col("scenario").alias("__scenario"))
+    kept = df.join(chosen, F.col(SCENARIO) == F.col("__scenario"), "left_semi")
+    return kept.withColumn(CASE, F.lit(case))
 
 
 def open_symbols(spark: SparkSession, path: str) -> SymbolCatalog:

@@ -1,6 +1,7 @@
 """Operators on hand-written edge frames."""
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from scenfold.functions import scalars
@@ -280,3 +281,40 @@ def test_legend_and_style(spark):
     styled = charts.series_style(df, "G", {"X": ("#111111", "...", "Ex")}, charts.DEFAULT_GDP_COLOR)
     rows = {(r["G"], r["color"], r["hatch"], r["legend"]) for r in styled.collect()}
     assert rows == {("X", "#111111", "...", "Ex"), ("Y", "#CCCCCC", "", "Y")}
+
+
+def test_numbered_rows(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.lit("x").alias("position_of"))
+    placed = ordering.numbered(df.repartition(7), "k", name="place")
+    assert {r["k"] + 1 for r in placed.filter("place = k + 1").collect()} == set(range(1, 5001))
+    assert ordering.sorted_by(df.limit(0), "k", position="p").collect() == []
+    hot = spark.range(100).select(F.lit(None).cast("int").alias("k"))
+    assert sorted(r["p"] for r in ordering.sorted_by(hot, "k", position="p").collect()) == list(range(1, 101))
+
+
+def test_membership_in_a_frame(spark):
+    df = frame(spark, "G string, Value double", ("X", 1.0), ("Y", 2.0), (None, 3.0), ("X", 4.0))
+    labels = frame(spark, "name string", ("X",), ("X",), (None,), ("Z",))
+    kept = filters.isin(df, "G", labels)
+    assert sorted(r["Value"] for r in kept.collect()) == [1.0, 4.0]
+    assert kept.columns == df.columns
+    assert "LeftSemi" in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_unmatched_conversions_are_counted_while_they_run(spark):
+    df = frame(spark, "R string, Value double", ("u", 1.0), ("v", 2.0), (None, 3.0), ("v", 4.0), ("w", 5.0))
+    seen = Observation()
+    done = joins.convert(df, {"u": 2.0}, observed=seen)
+    assert sorted((r["Value"] for r in done.collect()), key=repr) == [0.5, None, None, None, None]
+    with pytest.raises(ValueError, match=r"4 of 5 rows: \(missing\), v, w"):
+        joins.require_matched(seen)
+    matched = Observation()
+    joins.convert(df.filter("R = 'u'"), {"u": 2.0}, observed=matched).collect()
+    assert joins.require_matched(matched)["unmatched"] == 0
+    found = joins.unmatched_rows(df, {"u": 2.0}).collect()
+    assert {(r["R"], r["unmatched"]) for r in found} == {("v", 2), ("w", 1), (None, 1)}
+
+
+def test_first_row_of_a_tie(spark):
+    df = frame(spark, "k string, o int, v string", ("a", 1, "y"), ("a", 1, "x"), ("a", None, "w"), ("b", None, "q"))
+    assert {tuple(r) for r in joins.first_by(df, ["k"], "o").collect()} == {("a", 1, "x"), ("b", None, "q")}

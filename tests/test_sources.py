@@ -9,7 +9,7 @@ from scenfold.model import symbol_schema
 from scenfold.operators.filters import time_range
 from scenfold.sources import symbols
 from scenfold.sources.registry import read_entries, scenario_registry
-from scenfold.sources.sinks import write_csv
+from scenfold.sources.sinks import read_csv, write_csv
 from scenfold.sources.symbols import dataset_name
 from tests.frames import frame, values
 
@@ -245,3 +245,72 @@ def test_emptiness_is_read_from_footers(spark, tmp_path):
     counts = symbols.filled_counts(symbols.footer_session(spark), {"a": (str(tmp_path / "a" / "x"), part.schema)})
     assert "PushedAggregation: [COUNT(G), COUNT(Value)]" in counts._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in counts.collect()] == [("a", [1, 0])]
+
+
+def test_case_prunes_scenario_folders(spark, tmp_path):
+    names = ["s1", "s2", "2050"]
+    agy = frame(spark, "G string, Value double, Scenario string", *[("X", float(i), n) for i, n in enumerate(names)])
+    registry = scenario_registry(spark, {n: {"path": n, "case": c} for n, c in zip(names, ("high", None, "high"))})
+    symbols.save_symbols({"agy": agy}, str(tmp_path), registry=registry)
+    opened = symbols.open_symbols(spark, str(tmp_path))
+    assert set(opened) == {"agy"}
+    high = symbols.of_case(opened["agy"], symbols.open_registry(spark, str(tmp_path)), "high")
+    assert "dynamicpruning" in high._jdf.queryExecution().executedPlan().toString()
+    assert {(r["Scenario"], r["Case"], r["Value"]) for r in high.collect()} == {("s1", "high", 0.0), ("2050", "high", 2.0)}
+    assert symbols.of_case(opened["agy"], symbols.open_registry(spark, str(tmp_path)), "low").collect() == []
+
+
+def test_a_failed_export_leaves_nothing_and_a_rerun_replaces(spark, tmp_path):
+    path = str(tmp_path / "out")
+    good = frame(spark, "a string, b int", ("x", 1), (None, 2), ("x", 1))
+    broken = good.withColumn("b", F.when(F.col("a").isNull(), F.raise_error(F.lit("lost"))).otherwise(F.col("b")))
+    with pytest.raises(Exception, match="lost"):
+        write_csv(broken, path)
+    assert list(tmp_path.iterdir()) == []
+    assert write_csv(good, path)["rows"] == 3
+    with pytest.raises(FileExistsError):
+        write_csv(good, path)
+    with pytest.raises(Exception, match="lost"):
+        write_csv(broken, path, "overwrite")
+    assert read_csv(spark, path, "a string, b int", verify=True).count() == 3
+    write_csv(good.limit(1), path, "overwrite")
+    assert [tuple(r) for r in read_csv(spark, path, "a string, b int", verify=True).collect()] == [("x", 1)]
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+    extra = next(p for p in (tmp_path / "out").glob("part-*"))
+    extra.write_text("a,b\ny,5\n")
+    (tmp_path / "out" / f".{extra.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="manifest"):
+        read_csv(spark, path, "a string, b int", verify=True)
+    with pytest.raises(ValueError, match="columns"):
+        read_csv(spark, path, "b int, a string")
+
+
+def test_gate_report(spark, tmp_path):
+    write_run(spark, tmp_path / "a", "x", "G string, Value double", ("X", 1.0))
+    write_run(spark, tmp_path / "b", "x", "G string, R string, Value double", ("X", "u", 1.0))
+    write_run(spark, tmp_path / "a", "y", "G string, Value double", ("X", 1.0))
+    runs = {"a": str(tmp_path / "a"), "b": str(tmp_path / "b"), "none": None}
+    assert [tuple(r) for r in symbols.gate_report(spark, runs).collect()] == [
+        ("x", False, "different columns across scenarios"), ("y", True, None)
+    ]
+
+
+def test_a_shared_pass_holds_the_grains_of_its_symbols(spark):
+    """Not the cells of all dimensions together."""
+    from scenfold.sources import star
+
+    sf_dir = "/root/testdata/sf0.001"
+    held = []
+    names = ["agy", "ghgky", "ei_t", "etotco2", "ish2t_out"]
+    original = star.cut
+    star.cut = lambda df: held.append(original(df)) or held[-1]
+    try:
+        catalog = star.shared_catalog(spark, sf_dir, names)
+    finally:
+        star.cut = original
+    grains = {(star.SCENARIO, *s.dims.values(), *s.where_dims) for s in (star.SYMBOLS[n] for n in names)}
+    rows = star.facts(spark, sf_dir, sorted({c for g in grains for c in g}))
+    assert held[0].count() == sum(rows.select(*g).distinct().count() for g in {tuple(sorted(g)) for g in grains})
+    for name in names:
+        own = star.star_symbol(spark, sf_dir, name)
+        assert sorted(map(tuple, catalog[name].select(own.columns).collect())) == sorted(map(tuple, own.collect()))

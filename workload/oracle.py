@@ -283,6 +283,20 @@ ORACLE: dict[str, str] = {
     "src_stamp": """
         SELECT 'base' AS Scenario, 'ref' AS "Case", o_orderpriority, count(*) AS n
         FROM orders GROUP BY o_orderpriority""",
+    "src_case": _sql("agy", """
+        SELECT Scenario, 'high' AS "Case", t, round(sum(Value), 2) AS Value FROM agy WHERE Scenario < '3'
+        GROUP BY Scenario, t"""),
+    "src_drop_empty": """
+        SELECT 'a' AS Scenario, 'orders' AS symbol, count(*) AS n FROM orders
+        UNION ALL SELECT 'b', 'nation', count(*) FROM nation""",
+    "src_schema_gate": """
+        SELECT 'nation' AS symbol, true AS accepted, CAST(NULL AS VARCHAR) AS reason, 2 * count(*) AS n FROM nation
+        UNION ALL SELECT 'region', false, 'different columns across scenarios', NULL
+        UNION ALL SELECT 'customer', false, 'different columns across scenarios', NULL""",
+    "src_min_columns": """
+        SELECT 'nation' AS symbol, true AS accepted, CAST(NULL AS VARCHAR) AS reason, 2 * count(*) AS n FROM nation
+        UNION ALL SELECT 'orders', false, 'fewer than two columns', NULL
+        UNION ALL SELECT 'supplier', false, 'fewer than two columns', NULL""",
     "src_rename": _sql("fact", """
         SELECT t, G, R, CAST(sum(qty) AS DOUBLE) AS Value FROM fact GROUP BY t, G, R"""),
     "src_time_range": """
@@ -301,6 +315,10 @@ ORACLE: dict[str, str] = {
     "fil_isin": _sql("aai", """
         SELECT Scenario, ne, t, round(sum(Value), 2) AS Value FROM aai
         WHERE ne IN ('Brand#3', 'Brand#7', 'Brand#11', 'Brand#99') GROUP BY Scenario, ne, t"""),
+    "fil_semi": _sql("aai", """
+        SELECT Scenario, ne, t, round(sum(Value), 2) AS Value FROM aai
+        WHERE ne IN (SELECT p_brand FROM part GROUP BY p_brand HAVING avg(p_size) > 25)
+        GROUP BY Scenario, ne, t"""),
     "fil_horizon": _sql("agy", "SELECT Scenario, G, R, t, round(Value, 2) AS Value FROM agy WHERE t <= 2000"),
     "fil_wildcard": _sql("agy", "SELECT Scenario, G, R, t, round(Value, 2) AS Value FROM agy WHERE G = 'PROMO'"),
     "fil_dims": _sql("ee_sect", """
@@ -349,6 +367,9 @@ ORACLE: dict[str, str] = {
     "join_conv": _sql("agy conv", """
         SELECT Scenario, R, t, round(Value / f, 3) AS Value FROM agy LEFT JOIN conv USING (R)
         WHERE G = 'PROMO'"""),
+    "join_conv_report": _sql("agy conv", """
+        SELECT Scenario, R, count(*) AS unmatched FROM agy ANTI JOIN conv USING (R)
+        WHERE G = 'PROMO' GROUP BY Scenario, R"""),
     "join_factor": _sql("agy ejoe", """
         SELECT a.Scenario, a.R, a.G, a.t, round(coalesce(k.Value, 1.0), 8) AS factor,
           round(a.Value * coalesce(k.Value, 1.0), 8) AS Value
@@ -420,6 +441,11 @@ ORACLE: dict[str, str] = {
           CAST(dense_rank() OVER (ORDER BY Scenario DESC) - 1 AS INTEGER) AS ord,
           CAST(row_number() OVER (PARTITION BY Scenario ORDER BY t) AS INTEGER) AS position
         FROM sco2 GROUP BY Scenario, t"""),
+    "srt_sink": _sql("agy", """
+        SELECT Scenario, t, G, round(sum(Value), 2) AS Value,
+          row_number() OVER (ORDER BY Scenario, t, G) AS position FROM agy GROUP BY Scenario, t, G"""),
+    "srt_total_desc": _sql("agy", """
+        SELECT G, round(sum(Value), 2) AS Value FROM agy GROUP BY G ORDER BY sum(Value) DESC, G LIMIT 3"""),
     "set_union_all": _sql("sco2 ei_t", """
         SELECT Scenario, t, G, round(sum(Value), 2) AS Value, CAST(NULL AS VARCHAR) AS e FROM sco2
           GROUP BY Scenario, t, G
@@ -671,6 +697,18 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT Scenario, t, 'Scrap EAF', round(x3 * output, 1) FROM conventional
         UNION ALL SELECT Scenario, t, CASE tech WHEN 'F' THEN 'DRI-H2 CCS' ELSE 'DRI-EAF CCS' END, round(v, 1)
           FROM ccs"""),
+    "steel_mix_wide": _sql("agy ee_sect conv", f"""
+        , {_steel("TRUE").strip()}, fit AS ({_fit("steel", "Scenario, t")}),
+        ccs AS (SELECT Scenario, t, coalesce(sum(CAST(q AS DOUBLE) / f) FILTER (tech = 'F'), 0.0) AS h2,
+            coalesce(sum(CAST(q AS DOUBLE) / f) FILTER (tech = 'O'), 0.0) AS eaf,
+            count(*) FILTER (tech = 'F') AS n_h2, count(*) FILTER (tech = 'O') AS n_eaf
+          FROM (SELECT Scenario, t, tech, R, sum(qty) AS q FROM fact GROUP BY Scenario, t, tech, R)
+          LEFT JOIN conv USING (R) GROUP BY Scenario, t)
+        SELECT s.Scenario, s.t AS Year, round(x1 * output, 1) AS "BF-BOF", round(x2 * output, 1) AS "NG DRI-EAF",
+          round(x3 * output, 1) AS "Scrap EAF", CASE WHEN n_h2 > 0 THEN round(h2, 1) END AS "DRI-H2 CCS",
+          CASE WHEN n_eaf > 0 THEN round(eaf, 1) END AS "DRI-EAF CCS"
+        FROM steel s LEFT JOIN fit f ON f.Scenario = s.Scenario AND f.t = s.t
+        LEFT JOIN ccs c ON c.Scenario = s.Scenario AND c.t = s.t"""),
     "cement_mix": _sql("fact conv", """
         , p AS (SELECT Scenario, t, e, R, CAST(sum(price) AS DOUBLE) AS v FROM fact GROUP BY Scenario, t, e, R)
         SELECT Scenario, t AS Year, CASE e WHEN 'A' THEN 'CCS' ELSE 'NoCCS' END AS Technology,

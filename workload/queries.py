@@ -31,7 +31,7 @@ from scenfold.sources.star import (
     star_symbol,
     table,
 )
-from scenfold.sources.sinks import write_csv
+from scenfold.sources.sinks import read_csv, write_csv
 from scenfold.sources.storage import checkpoint_dir, cut
 from workload.settings import ELECTRICITY_CARRIER, ENERGY_META, HORIZON, META, YEARS
 
@@ -60,6 +60,11 @@ def rows(df: DataFrame, *dims: str, digits: int = 2) -> DataFrame:
     return rounded(df.select(SCENARIO, *dims, VALUE), digits)
 
 
+def _in(region: str) -> dict:
+    """For a shared catalog: one region is all that an analysis reads."""
+    return {"where": F.col("R") == region, "where_dims": ["R"]}
+
+
 # --- Sources ---------------------------------------------------------------
 
 
@@ -100,6 +105,73 @@ def src_stamp(spark, sf_dir):
     return stamped.groupBy("Scenario", "Case", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
+@query
+def src_case(spark, sf_dir):
+    """Written by scenario, reopened, and chosen by the registry's case: other folders stay closed."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/symbols-{uuid.uuid4().hex}"
+    entries = {s: {"path": path, "case": "high" if s < "3" else "low"} for s in SCENARIOS}
+    saved = {"agy": star_symbol(spark, sf_dir, "agy").drop("Case")}
+    sources.save_symbols(saved, path, registry=scenario_registry(spark, entries))
+    opened = sources.open_symbols(spark, path)["agy"]
+    high = sources.of_case(opened, sources.open_registry(spark, path), "high")
+    return rounded(aggregates.agg_sum(high, [SCENARIO, "Case", TIME]), 2)
+
+
+def _runs(spark, sf_dir, **tables):
+    """Two scenario folders that hold the named frames: (first, second), None for no dataset."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    for name, frames in tables.items():
+        for run, df in zip(("a", "b"), frames, strict=True):
+            if df is not None:
+                df.write.parquet(f"{path}/{run}/{name}")
+    return {"a": f"{path}/a", "b": {"path": f"{path}/b", "case": "b"}}
+
+
+@query
+def src_drop_empty(spark, sf_dir):
+    """A part that is emptied, one of nulls alone, and whole ones; what is left of every symbol."""
+    orders = table(spark, sf_dir, "orders").select("o_orderstatus", "o_totalprice")
+    nation = table(spark, sf_dir, "nation").select("n_name", "n_regionkey")
+    blank = nation.select(F.lit(None).cast("string").alias("n_name"), F.lit(None).cast("int").alias("n_regionkey"))
+    runs = _runs(spark, sf_dir, orders=(orders, orders.filter("o_totalprice < 0")), nation=(blank, nation))
+    catalog = sources.load_scenarios(spark, runs)
+    counts = [
+        df.groupBy(SCENARIO).agg(F.count("*").alias("n")).withColumn("symbol", F.lit(name))
+        for name, df in catalog.items()
+    ]
+    return joins.union_all(*counts)
+
+
+def _gates(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    region = table(spark, sf_dir, "region")
+    customer = table(spark, sf_dir, "customer")
+    keys = table(spark, sf_dir, "orders").select("o_orderkey")
+    return _runs(
+        spark, sf_dir, nation=(nation, nation), region=(region, region.withColumn("r_extra", F.lit(1))),
+        customer=(customer, customer.select(*reversed(customer.columns))), orders=(keys, keys), supplier=(None, keys),
+    )
+
+
+def _gated(spark, sf_dir, names):
+    """What the gates say of each symbol, with the rows that were loaded of it."""
+    runs = _gates(spark, sf_dir)
+    catalog = sources.load_scenarios(spark, runs, symbols=names)
+    counts = [df.agg(F.count("*").alias("n")).withColumn("symbol", F.lit(s)) for s, df in catalog.items()]
+    both = joins.union_all(sources.gate_report(spark, runs, names), *counts)
+    return both.groupBy("symbol").agg(*[F.max(c).alias(c) for c in ("accepted", "reason", "n")])
+
+
+@query
+def src_schema_gate(spark, sf_dir):
+    return _gated(spark, sf_dir, ["nation", "region", "customer"])
+
+
+@query
+def src_min_columns(spark, sf_dir):
+    return _gated(spark, sf_dir, ["nation", "orders", "supplier"])
+
+
 @query
 def src_rename(spark, sf_dir):
     raw = facts(spark, sf_dir, ["t", "G", "R", "qty"])
@@ -146,6 +218,14 @@ def fil_isin(spark, sf_dir):
     return rows(aggregates.agg_sum(df, [SCENARIO, "ne", "t"]), "ne", "t")
 
 
+@query
+def fil_semi(spark, sf_dir):
+    """Sectors' inputs among the brands of a table: those whose parts are larger than most."""
+    parts = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.avg("p_size").alias("size"))
+    df = filters.isin(star_symbol(spark, sf_dir, "AAI"), "ne", parts.filter("size > 25").select("p_brand"))
+    return rounded(aggregates.agg_sum(df, [SCENARIO, "ne", "t"]), 2)
+
+
 @query
 def fil_horizon(spark, sf_dir):
     return rows(filters.horizon(star_symbol(spark, sf_dir, "agy"), HORIZON), "G", "R", "t")
@@ -256,6 +336,13 @@ def join_conv(spark, sf_dir):
     return rows(joins.convert(df, META.conversion["PROMO"]), "R", "t", digits=3)
 
 
+@query
+def join_conv_report(spark, sf_dir):
+    """Rows without a conversion factor, by region; the same number is observed while converting."""
+    df = filters.eq(star_symbol(spark, sf_dir, "agy"), "G", "PROMO")
+    return joins.unmatched_rows(df, META.conversion["PROMO"], [SCENARIO])
+
+
 @query
 def join_factor(spark, sf_dir):
     catalog = shared_catalog(spark, sf_dir, ["agy", "ejoe"])
@@ -275,7 +362,8 @@ def lim_first(spark, sf_dir):
 
 @query
 def join_align(spark, sf_dir):
-    catalog = shared_catalog(spark, sf_dir, ["sco2", "etotco2"])
+    promo = {"where": F.col("G") == "PROMO", "where_dims": ["G"]}
+    catalog = shared_catalog(spark, sf_dir, ["sco2", "etotco2"], **promo)
     keys = [*KEYS, "R"]
     a = filters.eq(catalog["sco2"], "G", "PROMO")
     b = filters.horizon(filters.eq(catalog["etotco2"], "G", "PROMO"), 1999)
@@ -399,6 +487,19 @@ def srt_keys(spark, sf_dir):
     return rows(ordering.by_registry(df, registry, ranks=True), "t", "ord", "position")
 
 
+@query
+def srt_sink(spark, sf_dir):
+    """All cells with their place in the order of scenario, year and sector."""
+    cells = aggregates.agg_sum(star_symbol(spark, sf_dir, "agy"), [*KEYS, "G"])
+    return rounded(ordering.sorted_by(cells, *KEYS, "G", position="position"), 2)
+
+
+@query
+def srt_total_desc(spark, sf_dir):
+    """The three largest sectors."""
+    return rounded(ordering.by_total_desc(star_symbol(spark, sf_dir, "agy"), "G").limit(3), 2)
+
+
 @query
 def set_union_all(spark, sf_dir):
     catalog = shared_catalog(spark, sf_dir, ["sco2", "ei_t"])
@@ -660,8 +761,7 @@ def snk_csv(spark, sf_dir):
     path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
     prices = reporting.emission_price(_data(spark, sf_dir), "co2", meta=META)
     write_csv(rows(prices, YEAR, digits=3), path)
-    schema = f"{SCENARIO} string, {YEAR} int, {VALUE} double"
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return read_csv(spark, path, f"{SCENARIO} string, {YEAR} int, {VALUE} double", verify=True)
 
 
 @query
@@ -736,7 +836,9 @@ CARRIER_SYMBOLS = {"ejoe": "ejoe_e", "expo_t": "expo_e"}
 
 @query
 def tec_add(spark, sf_dir):
-    catalog = shared_catalog(spark, sf_dir, ["ee_sect", "ee_add", "ejoe"], aliases=CARRIER_SYMBOLS)
+    catalog = shared_catalog(
+        spark, sf_dir, ["ee_sect", "ee_add", "ejoe"], aliases=CARRIER_SYMBOLS, **_in("ASIA")
+    )
     df = energy.energy_use(catalog, "all", "ASIA", "N", meta=ENERGY_META)
     return rows(df, YEAR, "G", digits=6)
 
@@ -744,7 +846,9 @@ def tec_add(spark, sf_dir):
 @query
 def tec_carrier_list(spark, sf_dir):
     """A list of one carrier means the same as the carrier: self-use and TWh included."""
-    catalog = shared_catalog(spark, sf_dir, ["ee_sect", "ee_add", "ejoe"], aliases=CARRIER_SYMBOLS)
+    catalog = shared_catalog(
+        spark, sf_dir, ["ee_sect", "ee_add", "ejoe"], aliases=CARRIER_SYMBOLS, **_in("ASIA")
+    )
     df = energy.energy_use(catalog, "all", ["ASIA"], ["A"], meta=ENERGY_META)
     return rows(df, YEAR, "G", digits=6)
 
@@ -835,6 +939,13 @@ def steel_mix(spark, sf_dir):
     return rows(mixes.steel_mix(catalog, meta=META), YEAR, "Technology", digits=1)
 
 
+@query
+def steel_mix_wide(spark, sf_dir):
+    catalog = shared_catalog(spark, sf_dir, STEEL_SYMBOLS)
+    df = mixes.steel_mix(catalog, wide=True, meta=META)
+    return rounded(df, 1, *df.columns[2:])
+
+
 @query
 def cement_mix(spark, sf_dir):
     df = mixes.cement_mix(star_catalog(spark, sf_dir), symbol="cement_out", meta=META)
@@ -855,14 +966,14 @@ def fuel_shares(spark, sf_dir):
 
 @query
 def liquids_mix(spark, sf_dir):
-    catalog = shared_catalog(spark, sf_dir, ["liquids", "e_aai"])
+    catalog = shared_catalog(spark, sf_dir, ["liquids", "e_aai"], **_in("AMERICA"))
     df = mixes.liquids_mix(catalog, "AMERICA", meta=META)
     return rows(df, YEAR, "Technology", digits=2)
 
 
 @query
 def liquids_region_list(spark, sf_dir):
-    catalog = shared_catalog(spark, sf_dir, ["liquids", "e_aai"])
+    catalog = shared_catalog(spark, sf_dir, ["liquids", "e_aai"], **_in("AMERICA"))
     df = mixes.liquids_mix(catalog, ["AMERICA"], meta=META)
     return rows(df, YEAR, "Technology", digits=2)
 
