@@ -277,10 +277,11 @@ def shared_catalog(
 ) -> SymbolCatalog:
     """Several symbols from one pass over the tables.
 
-    The fact view is read once and summed by GROUPING SETS, one for every grain that a symbol has:
-    its own dimensions and those that its condition needs. What is checkpointed are the symbols' own rows, not the
-    cells of all dimensions together, which nearly as many as the facts may be. ``where`` restricts the pass (it may use
-    ``where_dims`` besides the symbols' own dimensions).
+    The fact view is read once and summed by GROUPING SETS, one for every grain that a symbol has
+    (its own dimensions and those that its condition needs) and that is no part of another's: a coarser symbol is a sum of
+    the rows of a finer one. What is checkpointed are such rows, not the cells of all dimensions together, which may be
+    nearly as many as the facts. ``where`` restricts the pass (it may use ``where_dims`` besides the
+    symbols' own dimensions).
     """
     aliases = {**{n: n for n in names}, **(aliases or {})}
     specs = {name: SYMBOLS[source] for name, source in aliases.items() if name in names}
@@ -291,15 +292,24 @@ def shared_catalog(
     needed = list(dict.fromkeys(needs))
     keys = [c for c in needed if c not in MEASURES]
     sums = [exact_sum(c).alias(c) for c in needed if c in MEASURES]
-    grains = {name: tuple(k for k in keys if k in spec.needs) for name, spec in specs.items()}
-    sets = list(dict.fromkeys(grains.values()))
-    summed = base.groupingSets([list(s) for s in sets], *keys).agg(F.grouping_id().alias(GRAIN), *sums)
-    summed = cut(summed)
+    grains = {name: frozenset(spec.needs) & set(keys) for name, spec in specs.items()}
+    sets = [g for g in dict.fromkeys(grains.values()) if not any(g < other for other in grains.values())]
+    if len(sets) == 1:
+        summed = cut(base.groupBy(*keys).agg(*sums))
+    else:
+        listed = [[k for k in keys if k in s] for s in sets]
+        summed = cut(base.groupingSets(listed, *keys).agg(F.grouping_id().alias(GRAIN), *sums))
 
     def grain(name: str) -> DataFrame:
-        """The rows of a symbol's grouping set: its id has a bit for every key that is not in it."""
-        bits = ("0" if k in grains[name] else "1" for k in keys)
-        own = summed.filter(F.col(GRAIN) == int("".join(bits), 2))
-        return own.select(*grains[name], *specs[name].measures)
+        """The rows of the smallest grouping set that holds a symbol's grain.
+
+        A set's id has a bit for every key that is not in it.
+        """
+        held = min((s for s in sets if grains[name] <= s), key=len)
+        if len(sets) == 1:
+            return summed
+        bits = "".join("0" if k in held else "1" for k in keys)
+        own = summed.filter(F.col(GRAIN) == int(bits, 2))
+        return own.select(*[k for k in keys if k in held], *specs[name].measures)
 
     return SymbolCatalog({name: symbol_frame(grain(name), spec) for name, spec in specs.items()})
