@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenfold.llm import (
-    classifier, coder, hmm, imatch, mixing, packing, rules, secrets, sharding, simhash,
+    classifier, coder, hmm, imatch, merkle, mixing, packing, phrases, rules, secrets, sharding, simhash,
 )
 from scenfold.llm.tokens import public_path
 
@@ -41,10 +41,12 @@ OPERATORS = {
         docs, classifier.trained(docs, labels(docs.sparkSession))
     ),
     "mixing": lambda docs, tmp: mixing.mix(docs),
+    "merkle": lambda docs, tmp: merkle.proven(merkle.manifest(docs, merkle.with_added_chars())),
+    "phrases": lambda docs, tmp: phrases.collocations(docs, min_count=2),
     "mixed_documents": lambda docs, tmp: mixing.mixed_documents(docs),
 }
 #: Rows out for ROWS, where every row is kept.
-WHOLE = ("simhash", "rules", "coder", "hmm", "secrets", "redaction", "imatch", "sharding", "classifier")
+WHOLE = ("simhash", "rules", "coder", "hmm", "secrets", "redaction", "imatch", "sharding", "classifier", "merkle")
 
 
 @pytest.mark.parametrize("name", list(OPERATORS))
