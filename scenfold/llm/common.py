@@ -13,6 +13,9 @@ from scenfold.sources.storage import checkpoint_dir
 SPACES = "[ \\t-\\r]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+# Rows of a key that is never hot, and the most hot keys there can be (see ``spread_join``).
+FEW = 10_000
+HOT_KEYS = 10_000
 LOWER_TABLE = str.maketrans(UPPER, LOWER)
 
 
@@ -40,6 +43,25 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, totals: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """Rows with the columns that ``totals`` holds for their key; rows of other keys go.
+
+    ``totals``, a stored table, has one row per key, and in ``count`` how many rows have it. Keys of more than
+    ``FEW`` rows and more than a ``HOT_KEYS``-th of all rows are hot. As counts add up to the number of
+    rows, there are at most ``HOT_KEYS`` of them at any size: they are broadcast, and their rows
+    stay where they are. All others are joined by a shuffle in which no key is large. ``rows`` are
+    read twice if there is a hot key. A null key has no match.
+    """
+    seen = totals.agg(F.sum(count), F.max(count)).first()
+    limit = max(FEW, (seen[0] or 0) // HOT_KEYS)
+    if (seen[1] or 0) <= limit:
+        return rows.join(totals.drop(count), key)
+    hot = totals.filter(F.col(count) > limit).drop(count)
+    rest = totals.filter(F.col(count) <= limit).drop(count)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(cold.join(rest, key))
+
+
 def content(text: Column) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(text, F.lit(""))

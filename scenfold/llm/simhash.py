@@ -8,7 +8,9 @@ Scale: copies are one row before any search. The search moves 16 rows of 16 byte
 fingerprint (``linked``). Rows of one key are compared where they meet, without emitting all pairs:
 a bucket yields a spanning forest of its links, which has the same components. A bucket of more than
 ``BUCKET`` fingerprints is dealt out again in blocks, and every two blocks of it are compared, so no
-task holds more than two blocks. Components are found by rounds of joins on disk.
+task holds more than two blocks. Components are found by rounds of joins on disk. Hot keys of joins
+(a fingerprint, bucket or component with very many rows) are broadcast with their one answer
+(``common.spread_join``).
 Deduplication searches 32 rows of 48 bytes per distinct set of shingles; only the sets of
 candidates are made again, and compared in components of candidates, in blocks as above.
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import stored
+from .common import spread_join, stored
 from .components import components
 
 SEED = 42
@@ -298,11 +300,12 @@ def linked(prints: DataFrame, keys: Callable, radius: int, words: int, bucket: i
     found = stored(compared(together, radius, words, bucket))
     links = found.filter("print is null").select("u", "v")
     large = found.filter("print is not null").select(F.col("v").alias("key"), F.col("u").alias("node"), "print")
-    sizes = large.groupBy("key").agg(F.ceil(F.count("*") / (bucket // 2)).cast("int").alias("blocks"))
+    sizes = large.groupBy("key").agg(F.count("*").alias("n"))
+    sizes = stored(sizes.withColumn("blocks", F.ceil(F.col("n") / (bucket // 2)).cast("int")))
     if sizes.isEmpty():
         return links
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = large.join(sizes, "key").withColumn("block", block).withColumn(
+    dealt = spread_join(large, sizes, "key").withColumn("block", block).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
     meeting = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
@@ -317,15 +320,18 @@ def linked(prints: DataFrame, keys: Callable, radius: int, words: int, bucket: i
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``: the least id that links of at most two bits reach."""
     prints = stored(with_fingerprints(docs, width))
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_rows")))
     octets = F.unhex(F.lpad(F.hex("fp"), 16, "0"))  # a fixed order of the bits will do
     search = classes.select(F.col("fp").alias("node"), F.col("fp").alias("search"), octets.alias("print"))
     found = stored(components(linked(search, golay.keys_within_2, RADIUS, 1, bucket)))
-    named = classes.join(found, classes["fp"] == found["node"], "left").select(
-        "fp", "least_id", F.coalesce("component", "fp").alias("component")
+    named = stored(classes.join(found, classes["fp"] == found["node"], "left").select(
+        "fp", "least_id", "n_rows", F.coalesce("component", "fp").alias("component")
+    ))
+    least = stored(
+        named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
     )
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return prints.join(named.join(least, "component").select("fp", "component_id"), "fp")
+    answers = stored(spread_join(named, least, "component").select("fp", "component_id", "n_rows"))
+    return spread_join(prints, answers, "fp", "n_rows")
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
@@ -371,9 +377,12 @@ def similar(docs: DataFrame, groups: DataFrame) -> DataFrame:
     that it names. Every two sets of a component are compared, or reached by links: a large component
     is dealt in blocks of about ``SHINGLES`` shingles, and every two of them meet in a task.
     """
-    blocks = groups.groupBy("component").agg(F.ceil(F.sum("size") / SHINGLES).cast("int").alias("blocks"))
+    groups = stored(groups)
+    blocks = stored(groups.groupBy("component").agg(
+        F.ceil(F.sum("size") / SHINGLES).cast("int").alias("blocks"), F.count("*").alias("n")
+    ))
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    dealt = stored(groups.join(blocks, "component").withColumn("block", block))
+    dealt = stored(spread_join(groups, blocks, "component").withColumn("block", block))
     wanted = F.broadcast(dealt) if dealt.count() <= BROADCAST else dealt
     texts = docs.withColumnRenamed("doc_id", "least_id").join(wanted, "least_id").select(
         "component", "node", "block", "blocks", "text"
@@ -441,16 +450,21 @@ def duplicate_ids(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     known = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     made = stored(known.mapInArrow(run, "doc_id long, node long, size long, search binary, print binary"))
     classes = stored(
-        made.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("size", "search", "print")])
+        made.groupBy("node").agg(
+            F.min("doc_id").alias("least_id"), F.count("*").alias("n_rows"), *[F.first(c).alias(c) for c in ("size", "search", "print")]
+        )
     )
     near = components(linked(classes, each_key, SKETCH_BITS, SKETCH_WORDS, bucket))
     groups = classes.join(near, "node").select("node", "component", "size", "least_id")
     found = components(similar(known, groups))
-    named = classes.join(found, "node", "left").select(
-        "node", "least_id", F.coalesce("component", "node").alias("component")
+    named = stored(classes.join(found, "node", "left").select(
+        "node", "least_id", "n_rows", F.coalesce("component", "node").alias("component")
+    ))
+    least = stored(
+        named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
     )
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return made.select("doc_id", "node").join(named.join(least, "component"), "node").filter(
+    answers = stored(spread_join(named, least, "component").select("node", "component_id", "n_rows"))
+    return spread_join(made.select("doc_id", "node"), answers, "node", "n_rows").filter(
         F.col("doc_id") != F.col("component_id")
     ).select("doc_id", "component_id")
 
