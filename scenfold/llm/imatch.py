@@ -8,10 +8,13 @@ share of equal parts among those that are not empty in both. Rare subsets surviv
 apart. A text with no term in any subset is hashed as a whole instead.
 
 Scale: document frequencies are summed map-side. The lexicon has at most (mean distinct terms of
-a document) x ``RARE`` terms, as every one of them is in N/``RARE`` documents; up to
-``MAX_LEXICON`` terms it is one constant hash table, looked up where a text is read; a larger one is refused (raise ``RARE``'s
-share or ``MAX_LEXICON``), never cut. Fingerprints need no shuffle. Editing a text with its successor's words
-moves each text once, into slices between sampled ids; a slice's first text also goes to the slice before it.
+a document) x ``RARE`` terms, as every one of them is in N/``RARE`` documents. Up to
+``MAX_LEXICON`` terms it is one constant hash table, looked up where a text is read, and fingerprints
+need no shuffle. A larger one is joined with the distinct terms of each distinct text, with the same
+fingerprints: terms in many documents, and texts with many copies, are hot keys that are broadcast
+(``common.spread_join``). Editing a text with its successor's words moves each text once, into
+slices between sampled pairs of id and text hash, so equal or null ids are spread too; a slice's first
+text also goes to the slice before it. Only rows equal in id and text stay together.
 
 Edge cases: a null text is empty; a null id sorts first; equal ids are ordered by a hash of their text; a
 single document follows itself; no rows give no rows; other columns are ignored.
@@ -19,10 +22,12 @@ single document follows itself; no rows give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import content, lower_ascii, stored, with_value, words
+from .common import content, lower_ascii, spread_join, stored, with_value, words
 
 RARE = 200
 COMMON = 5
@@ -30,7 +35,7 @@ COMMON = 5
 RATES = ((1, 2, 4), (2, 8, 6), (2, 4, 14))
 SUBSETS = sum(n for _, _, n in RATES)
 EMPTY = "00000000"
-MAX_LEXICON = 100_000
+MAX_LEXICON = 100_000  # terms in a constant table; more are joined
 SLICE_DOCS = 4000
 MAX_SLICES = 100_000
 LOWEST = -(1 << 63)
@@ -41,13 +46,18 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> DataFrame:
-    """``(term, df)`` of the terms within the band."""
+    """``(term, df, banded)`` of the terms in at least 1/``rare`` of the documents.
+
+    ``banded`` terms are the lexicon; the others, in more than 1/``common`` of the documents, are
+    at most ``common`` times as many as a document has distinct terms on average.
+    """
     total = docs.count()
     return (
         docs.select(F.explode(terms(F.col("text"))).alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("df"))
-        .filter((F.col("df") * rare >= total) & (F.col("df") * common <= total))
+        .filter(F.col("df") * rare >= total)
+        .withColumn("banded", F.col("df") * common <= total)
     )
 
 
@@ -66,21 +76,23 @@ def subset_mask(term: Column) -> Column:
 MASK_BITS = 24
 
 
-def lookup_table(band: DataFrame, max_lexicon: int = MAX_LEXICON) -> Column:
+def packed_term(term: Column) -> Column:
+    """A term's code and the subsets it belongs to."""
+    code = F.conv(F.substring(F.md5(term), 1, 7), 16, 10).cast("long")
+    return F.shiftleft(code, MASK_BITS) + subset_mask(term)
+
+
+def lookup_table(band: DataFrame) -> Column:
     """The lexicon as a constant hash table.
 
     ``starts`` has, for every slot, the place of its first entry; ``keys`` the terms' hashes and
     ``packed`` their codes and subset masks.
     """
-    size = band.limit(max_lexicon + 1).count()
-    if size > max_lexicon:
-        raise ValueError(f"the lexicon has more than {max_lexicon} terms; narrow the band")
-    slots = 1 << max(4, (2 * size).bit_length())
-    code = F.conv(F.substring(F.md5("term"), 1, 7), 16, 10).cast("long")
+    slots = 1 << max(4, (2 * band.count()).bit_length())
     entries = band.select(
         F.pmod(F.xxhash64("term"), F.lit(slots)).alias("slot"),
         F.xxhash64("term").alias("key"),
-        (F.shiftleft(code, MASK_BITS) + subset_mask(F.col("term"))).alias("packed"),
+        packed_term(F.col("term")).alias("packed"),
     )
     rows = entries.orderBy("slot", "key", "packed").toArrow().to_pydict()
     starts, filled = [0] * (slots + 1), rows["slot"]
@@ -100,11 +112,11 @@ def lookup_table(band: DataFrame, max_lexicon: int = MAX_LEXICON) -> Column:
     )
 
 
-def fingerprint_parts(text: Column, table: Column) -> Column:
-    """The parts of a text's fingerprint, as an array of ``SUBSETS`` strings."""
+def looked_up(text: Column, table: Column) -> Column:
+    """The packed terms of a text that the lexicon's table has, sorted."""
     none = F.array().cast("array<int>")
 
-    def looked_up(fixed: Column) -> Column:
+    def within(fixed: Column) -> Column:
         starts, keys, packed = fixed["starts"], fixed["keys"], fixed["packed"]
 
         def places(h: Column) -> Column:
@@ -124,6 +136,11 @@ def fingerprint_parts(text: Column, table: Column) -> Column:
         found = F.flatten(F.transform(hashes, places))
         return F.sort_array(F.transform(found, lambda i: F.get(packed, i)))
 
+    return with_value(table, within)
+
+
+def subset_parts(packed: Column) -> Column:
+    """A part per subset, ``EMPTY`` where it has none of a text's packed terms."""
     def part(found: Column, j: int) -> Column:
         kept = F.filter(found, lambda e: e.bitwiseAND(F.lit(1 << j).cast("long")) != 0)
         codes = F.transform(kept, lambda e: F.shiftright(e, MASK_BITS).cast("string"))
@@ -131,15 +148,46 @@ def fingerprint_parts(text: Column, table: Column) -> Column:
             F.substring(F.md5(F.concat_ws(",", codes)), 1, 8)
         )
 
-    def whole(parts: Column) -> Column:
+    return with_value(packed, lambda f: F.array(*[part(f, j) for j in range(SUBSETS)]))
+
+
+def or_whole(parts: Column, text: Column) -> Column:
+    """The parts, or those of the whole text where all are empty."""
+    def filled(found: Column) -> Column:
         plain = F.substring(F.md5(lower_ascii(content(text))), 1, 8)
         return F.when(
-            F.forall(parts, lambda p: p == EMPTY), F.array_repeat(plain, SUBSETS)
-        ).otherwise(parts)
+            F.forall(found, lambda p: p == EMPTY), F.array_repeat(plain, SUBSETS)
+        ).otherwise(found)
 
-    found = with_value(table, looked_up)
-    parts = with_value(found, lambda f: F.array(*[part(f, j) for j in range(SUBSETS)]))
-    return with_value(parts, whole)
+    return with_value(parts, filled)
+
+
+def with_joined_parts(rows: DataFrame, text: str, name: str, known: DataFrame) -> DataFrame:
+    """Rows with the parts of their fingerprint, by a join with ``lexicon``.
+
+    Terms above the band are few and go first, so no term left is in most texts. Equal texts have
+    one digest; their terms are gathered as sets, so copies are combined map-side.
+    """
+    digest = F.unhex(F.md5(content(F.col(text))))
+    held = rows.select(digest.alias("digest"), F.explode(terms(F.col(text))).alias("term")).join(
+        F.broadcast(known.filter(~F.col("banded")).select("term")), "term", "left_anti"
+    )
+    band = known.filter("banded").select(
+        "term", packed_term(F.col("term")).alias("packed"), F.col("df").alias("n")
+    )
+    pair = F.struct(F.xxhash64("term").alias("key"), "packed")
+    found = spread_join(held, band, "term").groupBy("digest").agg(F.collect_set(pair).alias("pairs"))
+    packed = F.sort_array(
+        F.coalesce(F.transform("pairs", lambda x: x["packed"]), F.array().cast("array<bigint>"))
+    )
+    copies = rows.groupBy(digest.alias("digest")).agg(F.count("*").alias("n"))
+    answers = stored(
+        copies.join(found, "digest", "left").select("digest", "n", subset_parts(packed).alias("parts"))
+    )
+    named = rows.select(F.struct("*").alias("row"), digest.alias("digest"))
+    return spread_join(named, answers, "digest").select(
+        "row.*", or_whole(F.col("parts"), F.col(f"row.{text}")).alias(name)
+    )
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -157,24 +205,35 @@ def with_successors(docs: DataFrame, extra: list[str], slice_docs: int = SLICE_D
     """
     ranked = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
     keyed = docs.withColumn("id_key", ranked).withColumn("text_hash", F.xxhash64(content(F.col("text"))))
-    ids = docs.select(ranked.alias("id_key"))
-    every = max(slice_docs, ids.count() // MAX_SLICES)
-    sampled = ids.filter(F.pmod(F.xxhash64("id_key", F.lit(7)), F.lit(every)) == 0).distinct()
-    bounds = [r.id_key for r in sampled.orderBy("id_key").collect()]
+    every = max(slice_docs, docs.count() // MAX_SLICES)
+    pairs = keyed.select("id_key", "text_hash").filter(
+        F.pmod(F.xxhash64("id_key", "text_hash", F.lit(7)), F.lit(every)) == 0
+    )
+    bounds = pairs.distinct().orderBy("id_key", "text_hash").collect()
 
     def sliced(fixed: Column) -> Column:
+        """The number of bounds at or below a row's pair, by binary search."""
+        def below(at: Column) -> Column:
+            return (at["id_key"] < F.col("id_key")) | (
+                (at["id_key"] == F.col("id_key")) & (at["text_hash"] <= F.col("text_hash"))
+            )
+
         place = F.lit(0)
         for step in (1 << k for k in reversed(range(len(bounds).bit_length()))):
             place = with_value(
                 place,
                 lambda p, step=step: F.when(
-                    F.get(fixed, p + (step - 1)) <= F.col("id_key"), p + step
+                    below(F.get(fixed, p + (step - 1))), p + step
                 ).otherwise(p),
             )
         return place
 
     if bounds:
-        constant = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+        ids, hashes = (
+            F.split(F.lit(",".join(map(str, column))), ",").cast("array<bigint>")
+            for column in zip(*bounds, strict=True)
+        )
+        constant = F.arrays_zip(ids.alias("id_key"), hashes.alias("text_hash"))
         keyed = keyed.withColumn("slice", with_value(constant, sliced))
     else:
         keyed = keyed.withColumn("slice", F.lit(0))
@@ -211,28 +270,45 @@ def with_successors(docs: DataFrame, extra: list[str], slice_docs: int = SLICE_D
     ).filter(~F.col("guest")).drop("guest")
 
 
-def fingerprinted(
-    docs: DataFrame, rare: int = RARE, common: int = COMMON
-) -> tuple[DataFrame, Column]:
-    """Documents with their fingerprint parts in ``parts``, and the table to make more of them."""
-    table = lookup_table(stored(lexicon(docs, rare, common)))
-    return docs.withColumn("parts", fingerprint_parts(F.col("text"), table)), table
+def fingerprinter(
+    docs: DataFrame, rare: int = RARE, common: int = COMMON, max_table: int = MAX_LEXICON
+) -> Callable[[DataFrame, str, str], DataFrame]:
+    """What adds to rows, in a named column, the fingerprint parts of a column of texts.
+
+    The lexicon is that of ``docs``: a constant table of up to ``max_table`` terms, else joined.
+    """
+    known = stored(lexicon(docs, rare, common))
+    band = known.filter("banded")
+    if band.count() > max_table:
+        return lambda rows, text, name: with_joined_parts(stored(rows), text, name, known)
+    table = lookup_table(band)
+
+    def added(rows: DataFrame, text: str, name: str) -> DataFrame:
+        parts = subset_parts(looked_up(F.col(text), table))
+        return rows.withColumn(name, or_whole(parts, F.col(text)))
+
+    return added
 
 
-def edited(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> DataFrame:
+def edited(
+    docs: DataFrame, rare: int = RARE, common: int = COMMON, max_table: int = MAX_LEXICON
+) -> DataFrame:
     """Every text's fingerprint, that of its edited text, and how alike they are."""
     plain = docs.select("doc_id", content(F.col("text")).alias("text"))
-    marked, table = fingerprinted(plain, rare, common)
-    rows = with_successors(marked, ["parts"])
+    with_parts = fingerprinter(plain, rare, common, max_table)
+    rows = with_successors(with_parts(plain, "text", "parts"), ["parts"])
     n_chars = F.length("text")
     half = F.floor(n_chars / 2).cast("int")
     text = F.concat(
         F.substring("text", F.lit(1), n_chars - half), F.substring("next_text", F.lit(1), half)
     )
-    rows = rows.select(
-        "doc_id", n_chars.cast("long").alias("n_chars"), text.alias("edited_text"), "parts",
-        "next_parts",
-    ).withColumn("edited_parts", fingerprint_parts(F.col("edited_text"), table))
+    rows = with_parts(
+        rows.select(
+            "doc_id", n_chars.cast("long").alias("n_chars"), text.alias("edited_text"), "parts",
+            "next_parts",
+        ),
+        "edited_text", "edited_parts",
+    )
     return rows.select(
         "doc_id", "n_chars", "edited_text", "parts", "edited_parts",
         likeness(F.col("parts"), F.col("edited_parts")).alias("near_edited"),
