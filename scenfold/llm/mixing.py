@@ -5,15 +5,16 @@ times. A document's virtual finish time is the words its source has sent once it
 divided by the source's target. All queues are merged by finish time and cut where the words
 reach the total budget.
 
-Scale: only (id, source, size) is kept of a document. A source is not one window: the shuffled
-order is divided into ``SLICES`` slices by hash, sums by (source, slice) give every slice its
-start, and windows run inside a slice, so a source with a third of all rows is spread evenly. The
-cut is found by radix passes over the finish times (at most 4096 bins a pass), never by one
-sorted task. Only tables of sources are ordered in one task.
+Scale: only (row, source, size) is kept of a document. Both orders, that of a queue and that of the merged
+queues, are ranges of their keys, sorted within, so a source with a third of all rows is spread evenly.
+Sums within a range are windows; those of all ranges before it come from one row per range and
+source. A range's last key is the row's number, so repeated rows are spread, too. Of the copies, those
+in coarse bins of finish time after the one in which the budget ends are not sorted.
+Only tables of sources, bins and ranges are ordered in one task.
 
 Edge cases: a null or empty text has size 0 and takes nothing; a null source is a source of its
-own, the last; a null id is an ordinary id; identical rows are one entry of the queue and share its decision;
-no rows give no rows; other columns are ignored.
+own, the last; a null id is an ordinary id; identical rows are rows of their own, one after another in the
+queue; no rows give no rows; other columns are ignored, and kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from .common import content, stored, words
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
-SLICES = 4096
 TICKS = float(1 << 32)  # resolution of a virtual finish time
-RADIX_SHIFTS = (40, 28, 16, 4, 0)
 LAST_TICK = 1 << 60
+COARSE = 24  # bits of a finish time that a coarse bin leaves out
+LAST_BIN = 4096
+PLACE_BITS = 33  # of ``monotonically_increasing_id``, the bits that count within a partition
 SEED = "mix"
 
 
@@ -69,108 +71,114 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
     return levels.select("queue", "source_size", target.alias("target"))
 
 
-def entries(docs: DataFrame) -> DataFrame:
-    """One row per distinct document: id, source, size, a hash of its text and ``n_rows``."""
+def units(docs: DataFrame, row: Column) -> DataFrame:
+    """What the queues know of every document; ``row`` numbers the rows."""
+    text = content(F.col("text"))
+    queue = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
+    order = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     return docs.select(
-        "doc_id",
-        "source",
-        F.size(words(F.col("text"))).cast("long").alias("size"),
-        F.xxhash64(content(F.col("text"))).alias("text_hash"),
-    ).groupBy("doc_id", "source", "size", "text_hash").agg(F.count("*").alias("n_rows"))
-
-
-def finish(repeat: int) -> Column:
-    """Virtual finish time, in ticks, of a document's copy in the given pass over its source."""
-    sent = F.col("sent") + F.lit(repeat) * F.col("source_size")
-    return F.least(
-        F.floor(sent.cast("double") / F.col("target") * TICKS).cast("long"), F.lit(LAST_TICK)
+        row.alias("row"), "doc_id", "source", queue.alias("queue"), order.alias("shuffled"),
+        F.size(words(text)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"),
     )
 
 
-def queued(units: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """Entries with ``sent``: the words of their source up to and with them, in shuffled order."""
-    order = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    keyed = (
-        units.withColumn(
-            "queue",
-            F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source"))),
-        )
-        .withColumn("shuffled", order)
-        .withColumn("slice", F.conv(F.substring("shuffled", 1, 3), 16, 10).cast("int") % SLICES)
-        .withColumn("weighs", F.col("size") * F.col("n_rows"))
+def ranged(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows in the order of ``keys``, with the number of their range and their place in it.
+
+    They are stored, so that places stay as they are. The keys tell all rows apart, so ranges are even.
+    """
+    place = F.monotonically_increasing_id()
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", place)
+    part = F.shiftright("at", PLACE_BITS)
+    return stored(ordered).select(
+        *df.columns, part.alias("part"), (F.col("at") - F.shiftleft(part, PLACE_BITS)).alias("place")
     )
-    slices = keyed.groupBy("queue", "source", "slice").agg(F.sum("weighs").alias("in_slice"))
-    in_order = Window.partitionBy("queue").orderBy("slice")
-    starts = slices.select(
-        "queue", "slice", (F.sum("in_slice").over(in_order) - F.col("in_slice")).alias("before")
+
+
+def queued(rows: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """``units`` with ``sent``: the words of their source up to and with them, in shuffled order."""
+    ordered = ranged(rows, "queue", "shuffled", "doc_id", "size", "text_hash", "row")
+    sums = stored(ordered.groupBy("queue", "source", "part").agg(F.sum("size").alias("in_part")))
+    in_order = Window.partitionBy("queue").orderBy("part")
+    starts = sums.select(
+        "queue", "part", (F.sum("in_part").over(in_order) - F.col("in_part")).alias("before")
     )
-    sizes = slices.groupBy("queue", "source").agg(F.sum("in_slice").alias("source_size"))
+    sizes = sums.groupBy("queue", "source").agg(F.sum("in_part").alias("source_size"))
     starts = starts.join(source_targets(sizes, weights, max_repeats), "queue")
     inside = (
-        Window.partitionBy("queue", "slice")
-        .orderBy("shuffled", "doc_id", "size", "text_hash")
+        Window.partitionBy("queue", "part").orderBy("place")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return keyed.join(starts, ["queue", "slice"]).select(
-        "doc_id", "source", "size", "text_hash", "n_rows", "weighs", "source_size", "target",
-        (F.col("before") + F.sum("weighs").over(inside)).alias("sent"),
+    within = ordered.withColumn("within", F.sum("size").over(inside))
+    return within.join(starts, ["queue", "part"]).select(
+        "row", "doc_id", "source", "queue", "size", "source_size", "target",
+        (F.col("before") + F.col("within")).alias("sent"),
     )
 
 
-def cut_tick(queue: DataFrame, max_repeats: int = MAX_REPEATS) -> int:
-    """The finish time at which the merged queues exceed the budget; later copies are not taken.
+def merged(queue: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The copies that the mix takes, as (row, position): all queues by finish time, up to the budget.
 
-    Each radix pass sums the words by the next bits of the finish time, within the bin in which the
-    budget ends, and reads one row.
+    The budget is the words of all documents. The first copy that would exceed it ends the mix.
     """
-    copies = queue.filter(F.col("weighs") > 0).select(
-        "weighs", F.explode(F.array(*[finish(r) for r in range(max_repeats)])).alias("tick")
+    sent = F.col("sent") + F.col("pass") * F.col("source_size")
+    tick = F.floor(sent.cast("double") / F.col("target") * TICKS).cast("long")
+    copies = (
+        queue.filter(F.col("size") > 0)
+        .withColumn("pass", F.explode(F.array(*[F.lit(r).cast("long") for r in range(max_repeats)])))
+        .select("row", "queue", "size", sent.alias("sent"), F.least(tick, F.lit(LAST_TICK)).alias("tick"))
+        .withColumn("bin", F.least(F.shiftright("tick", COARSE), F.lit(LAST_BIN)))
     )
-    left = queue.agg(F.coalesce(F.sum("weighs"), F.lit(0))).first()[0]
-    low, high = 0, LAST_TICK + 1
-    for shift in RADIX_SHIFTS:
-        bins = (
-            copies.filter((F.col("tick") >= low) & (F.col("tick") < high))
-            .groupBy(F.shiftright("tick", shift).alias("bin"))
-            .agg(F.sum("weighs").alias("words"))
-            .withColumn("upto", F.sum("words").over(Window.orderBy("bin")))
+    budget = queue.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    bins = copies.groupBy("bin").agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(Window.orderBy("bin"))
+    last_bin = bins.withColumn("upto", upto).filter(F.col("upto") > budget).agg(F.min("bin")).first()[0]
+    if last_bin is not None:
+        copies = copies.filter(F.col("bin") <= last_bin)
+    ordered = ranged(copies.drop("bin"), "tick", "queue", "sent")
+    sums = {
+        r.part: (r.n, r.words)
+        for r in ordered.groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()
+    }
+    starts, before, left, cut = [], 1, budget, None
+    for part in range(max(sums, default=-1) + 1):
+        n, size = sums.get(part, (0, 0))
+        starts.append(before)
+        if size > left:
+            cut = part
+            break
+        before, left = before + n, left - size
+    if cut is not None:
+        running = F.sum("size").over(Window.partitionBy("part").orderBy("place"))
+        over = ordered.filter(F.col("part") == cut).withColumn("upto", running)
+        end = over.filter(F.col("upto") > left).agg(F.min("place")).first()[0]
+        ordered = ordered.filter(
+            (F.col("part") < cut) | ((F.col("part") == cut) & (F.col("place") < end))
         )
-        over = bins.filter(F.col("upto") > left).orderBy("bin").select("bin", "upto", "words").first()
-        if over is None:
-            return LAST_TICK + 1
-        left -= over.upto - over.words
-        low, high = over.bin << shift, (over.bin + 1) << shift
-    return low
+    start = F.get(F.split(F.lit(",".join(map(str, starts or [1]))), ",").cast("array<bigint>"), F.col("part").cast("int"))
+    return ordered.select("row", (start + F.col("place")).alias("position"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """Every distinct document with its size, its source's size and target, and ``copies``."""
-    queue = stored(queued(stored(entries(docs)), weights, max_repeats))
-    cut = cut_tick(queue, max_repeats)
-    copies = sum(
-        (F.when(F.col("weighs") > 0, (finish(r) < cut).cast("int")).otherwise(0)
-         for r in range(max_repeats)),
-        F.lit(0),
+    """Every document with its size, its source's size and target, and what the mix takes of it.
+
+    ``copies`` is how often it is taken, ``position`` (from 1) where the first of them is in the mix.
+    """
+    rows = stored(units(docs, F.monotonically_increasing_id()))
+    queue = stored(queued(rows, weights, max_repeats))
+    taken = merged(queue, max_repeats).groupBy("row").agg(
+        F.count("*").alias("copies"), F.min("position").alias("position")
+    )
+    return queue.join(taken, "row", "left").select(
+        "doc_id", "source", "size", "source_size", "target",
+        F.coalesce("copies", F.lit(0)).alias("copies"), "position",
     )
-    return queue.withColumn("copies", copies)
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """The documents of the mix, with all their columns: repeated ``copies`` times, 0 drops."""
-    taken = mix(docs, weights, max_repeats).filter("copies > 0").select(
-        F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"),
-        F.col("text_hash").alias("mix_hash"), "copies",
-    )
-    rows = docs.select(
-        F.struct("*").alias("row"),
-        "doc_id", "source", F.xxhash64(content(F.col("text"))).alias("text_hash"),
-    )
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("mix_id"))
-        & F.col("source").eqNullSafe(F.col("mix_source"))
-        & (F.col("text_hash") == F.col("mix_hash"))
-    )
-    repeated = rows.join(taken, same).select(
-        "row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
-    )
-    return repeated.select("row.*")
+    """The copies of the mix in its order, with all columns of their documents."""
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("document")))
+    known = rows.select("row", "document.doc_id", "document.source", "document.text")
+    queue = stored(queued(units(known, F.col("row")), weights, max_repeats))
+    taken = rows.join(merged(queue, max_repeats), "row")
+    return taken.orderBy("position").select("document.*")

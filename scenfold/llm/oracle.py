@@ -58,17 +58,17 @@ def mixing_sql() -> str:
                                 ROWS UNBOUNDED PRECEDING))::BIGINT AS sent
         FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
     copies AS (
-        SELECT doc_id, size,
+        SELECT doc_id, source, size, sent + r * source_size AS sent,
                least(floor((sent + r * source_size)::DOUBLE / target * {mixing.TICKS}),
                      {mixing.LAST_TICK})::BIGINT AS tick
         FROM queue, range({repeats}) AS repeats(r) WHERE size > 0),
-    merged AS (SELECT *, sum(size) OVER (ORDER BY tick) AS upto FROM copies),
-    cut AS (SELECT min(tick) AS tick FROM merged
-            WHERE upto > (SELECT coalesce(sum(size), 0) FROM docs)),
+    merged AS (
+        SELECT doc_id, size, sum(size) OVER in_order AS upto, row_number() OVER in_order AS position
+        FROM copies WINDOW in_order AS (ORDER BY tick, source IS NOT NULL, source, sent)),
     taken AS (
-        SELECT c.doc_id, sum(size)::BIGINT AS taken FROM copies c, cut
-        WHERE cut.tick IS NULL OR c.tick < cut.tick GROUP BY c.doc_id)
-    SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(t.taken, 0) AS taken
+        SELECT doc_id, sum(size)::BIGINT AS taken, min(position) AS position FROM merged
+        WHERE upto <= (SELECT sum(size) FROM docs) GROUP BY doc_id)
+    SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(t.taken, 0) AS taken, t.position
     FROM queue q LEFT JOIN taken t USING (doc_id)"""
 
 
@@ -209,7 +209,8 @@ def phrases_sql() -> str:
                regexp_extract_all(unnest(regexp_split_to_array(
                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                    '[.,;:!?
-]')), '[^ 	]+') AS w
+
+]')), '[^ 	]+') AS w
         FROM documents),
     totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
     grams AS (

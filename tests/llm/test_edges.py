@@ -46,7 +46,7 @@ OPERATORS = {
     "mixed_documents": lambda docs, tmp: mixing.mixed_documents(docs),
 }
 #: Rows out for ROWS, where every row is kept.
-WHOLE = ("simhash", "rules", "coder", "hmm", "secrets", "redaction", "imatch", "sharding", "classifier", "merkle")
+WHOLE = ("simhash", "rules", "coder", "hmm", "secrets", "redaction", "imatch", "sharding", "classifier", "merkle", "mixing")
 
 
 @pytest.mark.parametrize("name", list(OPERATORS))

@@ -517,11 +517,73 @@ def test_targets_are_capped_and_share_the_rest(spark):
     assert found["b"] == pytest.approx(1970 * 2 / 5) and found["c"] == pytest.approx(1970 * 3 / 5)
 
 
-def test_mixed_documents_repeat_as_counted(spark):
-    docs = documents(spark, [(i, f"w{i} " * (i % 7), "en", "ab"[i % 10 == 0]) for i in range(300)])
-    copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
-    found = Counter(r.doc_id for r in mixing.mixed_documents(docs).collect())
-    assert found == {i: n for i, n in copies.items() if n} and max(copies.values()) <= 3
+def brute_mix(rows, weights=(1, 2, 3), repeats=3):
+    """Ids in the order of the mix: queues by an md5 of the id, merged by finish time, up to the budget."""
+    queues = {}
+    for i, text, _, source in rows:
+        queues.setdefault(source, []).append((hashlib.md5(f"mix{i}".encode()).hexdigest(), i, len((text or "").split())))
+    names = sorted((s for s in queues if s is not None)) + [None] * (None in queues)
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    size = {s: sum(n for _, _, n in queues[s]) for s in names}
+    target, left, free = {}, sum(size.values()), set(names)
+    while True:
+        level = left / sum(weight[s] for s in free) if free else 0
+        full = {s for s in free if repeats * size[s] <= level * weight[s]}
+        if not full:
+            break
+        target |= {s: float(repeats * size[s]) for s in full}
+        free -= full
+        left -= sum(repeats * size[s] for s in full)
+    target |= {s: weight[s] * level for s in free}
+    copies = []
+    for s in names:
+        sent = 0
+        for _ in range(repeats):
+            for _, i, n in sorted(queues[s]):
+                sent += n
+                if n:
+                    name = "n" if s is None else "s" + s
+                    copies.append((int(sent / target[s] * 2**32), name, sent, i, n))
+    taken, budget = [], sum(size.values())
+    for *_, i, n in sorted(copies):
+        budget -= n
+        if budget < 0:
+            break
+        taken.append(i)
+    return taken
+
+
+def test_mix_is_in_order_and_takes_repeated_rows_in_part(spark):
+    """A third of all rows are one row of source b; its copies are as many as the target allows."""
+    rows = [(i, f"w{i} " * (i % 7), "en", ["a", "b", None, "c"][i % 4]) for i in range(300)]
+    rows += [(1000, "the same row", "en", "b")] * 150
+    expected = brute_mix(rows)
+    found = mixing.mixed_documents(documents(spark, rows))
+    assert found.columns == documents(spark).columns
+    assert [r.doc_id for r in found.collect()] == expected
+    mixed = mixing.mix(documents(spark, rows).repartition(7)).collect()
+    assert len(mixed) == len(rows)
+    counts = Counter(expected)
+    total = Counter()
+    for r in mixed:
+        total[r.doc_id] += r.copies
+        assert (r.position is None) == (r.copies == 0) and r.copies <= 3
+        assert r.position is None or expected[r.position - 1] == r.doc_id
+    assert +total == counts
+    assert len({r.copies for r in mixed if r.doc_id == 1000}) == 2
+    taken = sum(r.size * r.copies for r in mixed if r.source == "b")
+    assert abs(taken - next(r.target for r in mixed if r.source == "b")) <= 7
+
+
+def test_mix_is_cut_within_a_range(spark):
+    """Every range of the merge is small: all but the last are whole, and positions go on."""
+    rows = [(i, f"w{i} " * (1 + i % 5), "en", "abc"[i % 3]) for i in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = [r.doc_id for r in mixing.mixed_documents(documents(spark, rows)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == brute_mix(rows)
 
 
 def test_letters_alone_and_dates_do_not_hide_secrets():
