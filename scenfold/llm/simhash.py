@@ -12,7 +12,8 @@ task holds more than two blocks. Components are found by rounds of joins on disk
 (a fingerprint, bucket or component with very many rows) are broadcast with their one answer
 (``common.spread_join``).
 Deduplication searches 32 rows of 48 bytes per distinct set of shingles; only the sets of
-candidates are made again, and compared in components of candidates, in blocks as above.
+candidates are made again, and compared in components of candidates. A large one is dealt in blocks that
+meet its first block; only sets that this leaves outside its largest piece meet all blocks.
 
 Edge cases: a null or empty text, or one of white space, has fingerprint 0, linked like any other; a
 text with fewer words than a shingle is one shingle; a null id takes part but names no component (a
@@ -26,7 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
@@ -370,12 +371,44 @@ def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
+def set_links(met: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` that join the sets of a key as their similarities of 0.8 or more do.
+
+    ``met`` has (key, node, shingles).
+    """
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key and node."""
+        at, held = None, {}
+
+        def found() -> pa.RecordBatch:
+            nodes = list(held)
+            pairs = alike([np.frombuffer(x, np.uint64) for x in held.values()])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([nodes[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"]
+            )
+
+        for batch in sliced(batches):
+            for key, node, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "shingles")), strict=True):
+                if key != at:
+                    if len(held) > 1:
+                        yield found()
+                    at, held = key, {}
+                held[node] = raw
+        if len(held) > 1:
+            yield found()
+
+    together = met.repartition("key").sortWithinPartitions("key")
+    return together.mapInArrow(links, "u long, v long")
+
+
 def similar(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """Links ``(u, v)`` between nodes of a group whose sets of shingles have a similarity of 0.8 or more.
 
     ``groups`` has (node, component, size, least_id); a node's set is that of the text of ``least_id``
     that it names. Every two sets of a component are compared, or reached by links: a large component
-    is dealt in blocks of about ``SHINGLES`` shingles, and every two of them meet in a task.
+    is dealt in blocks of about ``SHINGLES`` shingles, each of which meets the first block in a task.
+    The sets that this leaves apart from the largest piece of their component, dealt in blocks of their
+    own, then meet each other and that piece (``outsiders``).
     """
     groups = stored(groups)
     blocks = stored(groups.groupBy("component").agg(
@@ -400,32 +433,49 @@ def similar(docs: DataFrame, groups: DataFrame) -> DataFrame:
             kept = batch.drop_columns(["text"]).take(pa.array(rows, pa.int64()))
             yield kept.append_column("shingles", pa.array(found, pa.binary()))
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key and node."""
-        at, held = None, {}
+    made = stored(texts.mapInArrow(sets, "component long, node long, block int, blocks int, shingles binary"))
+    last = F.col("blocks") - 1
+    to_first = F.when(F.col("block") == 0, F.sequence(F.least(F.lit(1), last), last)).otherwise(F.array("block"))
+    first = made.select("component", F.explode(to_first).alias("to"), "node", "shingles")
+    found = set_links(first.select(F.xxhash64("component", "to").alias("key"), "node", "shingles"))
+    large = made.filter("blocks > 1")
+    if large.isEmpty():
+        return found
+    found = stored(found)
+    return found.union(set_links(outsiders(large, components(found))))
 
-        def found() -> pa.RecordBatch:
-            nodes = list(held)
-            pairs = alike([np.frombuffer(x, np.uint64) for x in held.values()])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([nodes[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"]
-            )
 
-        for batch in sliced(batches):
-            for key, node, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "shingles")), strict=True):
-                if key != at:
-                    if len(held) > 1:
-                        yield found()
-                    at, held = key, {}
-                held[node] = raw
-        if len(held) > 1:
-            yield found()
+def outsiders(large: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Meetings (key, node, shingles) of the sets outside the largest piece of their component.
 
-    made = texts.mapInArrow(sets, "component long, node long, block int, blocks int, shingles binary")
-    met = made.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meeting = F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))
-    together = met.select(meeting.alias("key"), "node", "shingles").repartition("key")
-    return together.sortWithinPartitions("key").mapInArrow(links, "u long, v long")
+    ``pieces`` names the sets that are linked so far. Outsiders are dealt in blocks of their own;
+    every two of these meet, and each meets every block of the largest piece, whose sets do not meet
+    each other again. So the work of a component grows with its size times that of its outsiders.
+    """
+    pieces = pieces.withColumnRenamed("component", "piece")
+    sized = large.select("component", "node", (F.length("shingles") / 8).cast("long").alias("size")).distinct()
+    named = stored(sized.join(pieces, "node", "left").withColumn("piece", F.coalesce("piece", "node")))
+    sums = stored(named.groupBy("component", "piece").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
+    per_component = stored(sums.groupBy("component").agg(
+        F.max_by("piece", F.struct("size", "piece")).alias("main"),
+        F.ceil((F.sum("size") - F.max("size")) / SHINGLES).cast("int").alias("others"),
+        F.sum("n").alias("n"),
+    ))
+    placed = spread_join(named, per_component, "component").filter("others > 0").select(
+        "node", "others", (F.col("piece") != F.col("main")).alias("outside")
+    )
+    own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("others")).cast("int")
+
+    def meeting(other: bool, i: Column, j: Column) -> Column:
+        return F.xxhash64("component", F.lit(other), i, j)
+
+    others, blocks = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("others", "blocks"))
+    among = F.transform(others, lambda k: meeting(True, F.least("own", k), F.greatest("own", k)))
+    with_main = F.transform(blocks, lambda k: meeting(False, F.col("own"), k))
+    inside = F.transform(others, lambda k: meeting(False, k, F.col("block")))
+    keys = F.when(F.col("outside"), F.concat(among, with_main)).otherwise(inside)
+    met = large.join(placed.withColumn("own", own), "node")
+    return met.select(F.explode(keys).alias("key"), "node", "shingles")
 
 
 def duplicate_ids(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:

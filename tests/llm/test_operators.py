@@ -188,6 +188,42 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in simhash.duplicate_ids(docs).collect()} == {(i, 0) for i in range(1, 40)}
 
 
+@pytest.mark.parametrize("sizes", [(60, 1), (40, 25, 1, 1), (12, 11, 10, 9, 8), (70,)])
+def test_sets_outside_the_largest_piece_meet_all(spark, monkeypatch, sizes):
+    """One large component of candidates, in truth several groups: near copies of a text each, and a bridge."""
+    monkeypatch.setattr(simhash, "SHINGLES", 600)
+    draw, texts = random.Random(7), []
+    for group, n in enumerate(sizes):
+        base = [f"g{group}.{i}" for i in range(100)]
+        for k in range(n):
+            at = 2 + draw.randrange(96)
+            texts.append(" ".join([*base[:at], f"x{group}.{k}", *base[at + 1 :]]))
+    texts += [texts[0] + " " + " ".join(f"y{i}" for i in range(n)) for n in (12, 24, 36)]  # a chain
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    sets = [simhash.shingle_set(t) for t in texts]
+    names = [simhash.set_name(x) for x in sets]
+    rows = [(names[i], 1, len(sets[i]), i) for i in range(len(texts))]
+    groups = spark.createDataFrame(rows, "node long, component long, size long, least_id long")
+    pairs = [
+        (i, j) for i in range(len(texts)) for j in range(i)
+        if 5 * len(shared := np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]) - len(shared))
+    ]
+    expected = spark.createDataFrame([(names[i], names[j]) for i, j in pairs], "u long, v long")
+    met = []
+    outsiders = simhash.outsiders
+
+    def counted(large, pieces):
+        met.append((large.count(), outsiders(large, pieces).count()))
+        return outsiders(large, pieces)
+
+    monkeypatch.setattr(simhash, "outsiders", counted)
+    found = {tuple(r) for r in components.components(simhash.similar(docs, groups)).collect()}
+    assert found == {tuple(r) for r in components.components(expected).collect()}
+    blocks = sum(len(x) for x in sets) // 600 + 1
+    if sizes in ((60, 1), (70,)):  # few outsiders: every set meets about once, not every block
+        assert met[0][1] <= 2 * met[0][0] + 8 * blocks
+
+
 # --- Rules -------------------------------------------------------------------------------------
 
 
