@@ -8,11 +8,13 @@ Model. The last id after the same two ids (order 2) and after the same id (order
 The chance that the order-2 prediction is right is mixed, in the logistic domain and with weights that adapt, from three
 estimates: by how often its context was right, by how often the order-1 context was, and by the order-0 frequency of
 the predicted id. If it fails, the order-1 prediction is tried; if that fails, the id is coded by its order-0 frequency.
-All arithmetic is on whole numbers, so any machine decodes what another coded.
+All arithmetic is on whole numbers, so any machine decodes what another coded. However sure the predictions are, they
+leave every id a part of the interval; without one, its lane would be shifted without end.
 
 Scale: documents are sorted by id in range partitions, and every task writes its blocks in order as
 rows of a Parquet file; a lost task is run again. Blocks hold whole documents, at least
-``BLOCK`` ids where there are as many; memory is that of a block or of its longest document.
+``BLOCK`` ids where there are as many; memory is that of a block or of its longest document, and of the words that
+the worker's tokenizer keeps.
 
 Edge cases: a null or empty text is its end id alone; a null id comes first; equal ids are ordered by text and
 stay one row each; a damaged block raises an error; no rows give no rows; other columns are ignored.
@@ -26,23 +28,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tokens import WORD_LEVEL, encoder
+from .tokens import WORD_LEVEL, encoder, sized
 
-MAGIC, VERSION = b"CMRC", 2
+MAGIC, VERSION = b"CMRC", 3
 HEADER = struct.Struct("<4sHHIII")  # magic, version, bits of an id, ids, lanes, checksum
 BLOCK = 1 << 21
 LANES, LANE_IDS = 4096, 256
 ID_BITS = 16
 
-TOTAL_BITS = 26  # of the interval that a step divides
+TOTAL_BITS = 30  # of the interval that a step divides
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 LEAST, MOST = 64, 62500  # chances, of 65536, that a prediction may have
 FREQUENCY_BITS = 20  # ids not yet seen keep a 16th of the shares
-FREQUENCY_TOTAL = 1 << FREQUENCY_BITS
+FREQUENCY_TOTAL = 1 << FREQUENCY_BITS  # of the interval are left to the order-0 shares, so each id's part is 1 or more
+SUREST = 65536 - (2 * FREQUENCY_TOTAL >> TOTAL_BITS - 16)  # an order-2 prediction leaves twice that
 WARM_STEPS = 64  # all of which adapt the chances; later, every eighth does
 REFRESH = 16  # steps between two tables of order-0 frequencies
 HASH_BITS = 18
@@ -56,7 +60,7 @@ def logistic_tables() -> tuple[np.ndarray, np.ndarray]:
     x = np.arange(-2047, 2048)
     squash = np.round(65536 / (1 + np.exp(-x / 256.0))).astype(np.int64)
     stretch = np.searchsorted(squash, (np.arange(4096) * 16 + 8)).clip(0, 4094) - 2047
-    return squash, stretch.astype(np.int64)
+    return np.minimum(squash, SUREST), stretch.astype(np.int64)
 
 
 SQUASH, STRETCH = logistic_tables()
@@ -107,39 +111,40 @@ class Model:
         """Set the predictions ``p2`` and ``p1`` and the ends of their parts of the interval."""
         self.at2 = ((before * 40503 + last) * 2654435761 >> 12) & ((1 << HASH_BITS) - 1)
         self.at1 = last
-        self.held2, self.held1 = self.second[self.at2], self.first[last]
+        self.held2, self.held1 = self.second.take(self.at2), self.first.take(last)
         self.p2, self.p1 = self.held2 >> TRUST_BITS, self.held1 >> TRUST_BITS
         self.trust2, self.trust1 = self.held2 & CONFIDENCE, self.held1 & CONFIDENCE
         same = self.p2 == self.p1
-        self.contexts = (self.trust2, 2 * self.trust1 + same, self.magnitude[self.p2])
-        mixed = sum(part[at] for part, at in zip(self.parts, self.contexts, strict=True)) >> 16
-        self.chance = SQUASH[np.clip(mixed, -2047, 2047, out=mixed) + 2047]
-        single = np.where(same, LEAST, self.single[self.trust1])
+        self.contexts = (self.trust2, 2 * self.trust1 + same, self.magnitude.take(self.p2))
+        mixed = sum(part.take(at) for part, at in zip(self.parts, self.contexts, strict=True)) >> 16
+        self.chance = SQUASH.take(np.clip(mixed, -2047, 2047, out=mixed) + 2047)
+        single = np.where(same, LEAST, self.single.take(self.trust1))
         self.end2 = self.chance << (TOTAL_BITS - 16)
-        self.end1 = self.end2 + (((1 << TOTAL_BITS) - self.end2) * single >> 16)
+        self.end1 = self.end2 + (((1 << TOTAL_BITS) - FREQUENCY_TOTAL - self.end2) * single >> 16)
         self.rest = (1 << TOTAL_BITS) - self.end1
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and width of the ids' parts of the interval."""
         self.hit1, self.hit2 = ids == self.p1, ids == self.p2
-        low = self.end1 + (self.cumulative[ids] * self.rest >> FREQUENCY_BITS)
-        high = self.end1 + (self.cumulative[ids + 1] * self.rest >> FREQUENCY_BITS)
+        low = self.end1 + (self.cumulative.take(ids) * self.rest >> FREQUENCY_BITS)
+        high = self.end1 + (self.cumulative.take(ids + 1) * self.rest >> FREQUENCY_BITS)
         hit = np.flatnonzero(self.hit1)
-        low[hit], high[hit] = self.end2[hit], self.end1[hit]
+        low[hit], high[hit] = self.end2.take(hit), self.end1.take(hit)
         hit = np.flatnonzero(self.hit2)
-        low[hit], high[hit] = 0, self.end2[hit]
+        low[hit], high[hit] = 0, self.end2.take(hit)
         return low, high - low
 
     def ids_in(self, value: np.ndarray) -> np.ndarray:
         """The ids whose part of the interval has the value."""
         ids = np.where(value < self.end2, self.p2, self.p1).astype(np.int64)
         other = np.flatnonzero(value >= self.end1)
-        inside = value[other] - self.end1[other] + 1
-        place = ((inside << FREQUENCY_BITS) - 1) // self.rest[other]
+        inside = value.take(other) - self.end1.take(other) + 1
+        # Both are positive; whole numbers without a sign are divided faster.
+        place = ((inside << FREQUENCY_BITS) - 1).view(np.uint64) // self.rest.take(other).view(np.uint64)
         if self.id_at is None:
             every = np.arange(len(self.counts), dtype=np.uint16)
             self.id_at = np.repeat(every, np.diff(self.cumulative))
-        ids[other] = self.id_at[np.minimum(place, FREQUENCY_TOTAL - 1)]
+        ids[other] = self.id_at.take(place.view(np.int64), mode="clip")
         return ids
 
     def update(self, ids: np.ndarray) -> None:
@@ -193,7 +198,7 @@ def steps_of(starts: np.ndarray, n: int, lanes: int) -> Iterator[tuple[int, int]
 
 def encode_block(ids: np.ndarray) -> bytes:
     """A coded block of ids below 2^16."""
-    ids = np.asarray(ids, np.int64)
+    ids = np.asarray(ids)
     n = len(ids)
     if n and (ids.min() < 0 or ids.max() >= 1 << ID_BITS):
         raise ValueError(f"an id has more than {ID_BITS} bits")
@@ -203,18 +208,18 @@ def encode_block(ids: np.ndarray) -> bytes:
     before, last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     model, out = Model(), []
     for step, active in steps_of(starts, n, lanes):
-        now = ids[starts[:active] + step]
+        now = ids.take(starts[:active] + step).astype(np.int64)
         model.predict(before[:active], last[:active])
         begin, size = model.interval(now)
         unit = width[:active] >> np.uint64(TOTAL_BITS)
         low[:active] += unit * begin.astype(np.uint64)
         width[:active] = unit * size.astype(np.uint64)
-        renormalized(low, width, lambda at: out.append((at, (low[at] >> np.uint64(48)).astype("<u2"))))
+        renormalized(low, width, lambda at: out.append((at.astype("<u2"), (low[at] >> np.uint64(48)).astype("<u2"))))
         model.update(now)
         before[:active], last[:active] = last[:active].copy(), now
     # Two words name a value within every lane's last interval, which is 2^32 wide or more.
     final = low + (BOTTOM - np.uint64(1))
-    every = np.arange(lanes)
+    every = np.arange(lanes, dtype="<u2")
     out.append((every, (final >> np.uint64(48)).astype("<u2")))
     out.append((every, (final >> np.uint64(32) & np.uint64(0xFFFF)).astype("<u2")))
     lane = np.concatenate([a for a, _ in out])
@@ -226,18 +231,18 @@ def encode_block(ids: np.ndarray) -> bytes:
 
 def renormalized(low: np.ndarray, width: np.ndarray, shifted) -> None:
     """Shift out the 16-bit words that are settled, or end an interval that is too narrow."""
-    at = np.arange(len(low))
-    while len(at):
-        lows, widths = low[at], width[at]
+    at, lows, widths = None, low, width  # all of them at first
+    while len(lows):
         settled = (lows ^ (lows + widths)) < TOP
-        due = settled | (widths < BOTTOM)
-        if not due.any():
+        due = np.flatnonzero(settled | (widths < BOTTOM))
+        if not len(due):
             return
-        at, lows, widths = at[due], lows[due], widths[due]
-        cut = ~settled[due]
-        widths[cut] = (~lows[cut] + np.uint64(1)) & (BOTTOM - np.uint64(1))
+        at, lows, widths = due if at is None else at.take(due), lows.take(due), widths.take(due)
+        cut = np.flatnonzero(~settled.take(due))
+        widths[cut] = (~lows.take(cut) + np.uint64(1)) & (BOTTOM - np.uint64(1))
         shifted(at)
-        low[at], width[at] = lows << np.uint64(16), widths << np.uint64(16)
+        lows, widths = lows << np.uint64(16), widths << np.uint64(16)
+        low[at], width[at] = lows, widths
 
 
 def decode_block(block: bytes) -> np.ndarray:
@@ -250,21 +255,21 @@ def decode_block(block: bytes) -> np.ndarray:
     lengths = np.frombuffer(block, "<u4", lanes, HEADER.size).astype(np.int64)
     if len(block) != HEADER.size + 4 * lanes + 2 * int(lengths.sum()):
         raise ValueError("the block is cut short")
-    words = np.frombuffer(block, "<u2", -1, HEADER.size + 4 * lanes).astype(np.uint64)
-    words = np.concatenate([words, np.zeros(4, np.uint64)])
+    words = np.frombuffer(block, "<u2", -1, HEADER.size + 4 * lanes)
+    words = np.concatenate([words, np.zeros(4, "<u2")])
     ends = np.cumsum(lengths)
     reading = ends - lengths
 
     code = np.zeros(lanes, np.uint64)
 
     def read(at: np.ndarray) -> None:
-        there = reading[at] < ends[at]
-        word = np.where(there, words[np.minimum(reading[at], len(words) - 1)], np.uint64(0))
-        code[at] = code[at] << np.uint64(16) | word
-        reading[at] += 1
+        place = reading.take(at)
+        word = np.where(place < ends.take(at), words.take(place, mode="clip"), np.uint16(0))
+        code[at] = code.take(at) << np.uint64(16) | word
+        reading[at] = place + 1
 
     _, starts = lanes_of(n)
-    ids = np.zeros(n, np.int64)
+    ids = np.zeros(n, "<u4")
     low = np.zeros(lanes, np.uint64)
     width = np.full(lanes, (1 << 64) - 1, np.uint64)
     before, last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -284,7 +289,7 @@ def decode_block(block: bytes) -> np.ndarray:
         model.update(now)
         ids[starts[:active] + step] = now
         before[:active], last[:active] = last[:active].copy(), now
-    if zlib.crc32(ids.astype("<u4").tobytes()) != checksum:
+    if zlib.crc32(ids) != checksum:
         raise ValueError("the block's checksum does not match its ids")
     return ids
 
@@ -298,47 +303,47 @@ def write_blocks(
 ) -> None:
     """Write the ids of all documents, in ascending order of their ids, to files under ``path``.
 
-    Rows of the files are blocks: ``part`` and ``block`` put them in order, ``doc_ids`` and ``lengths`` say
-    whose ids a block has.
+    Rows of the files are blocks: ``part`` and ``block`` put them in order, ``before`` and ``size`` count the ids
+    before it in its part and in it, ``doc_ids`` and ``lengths`` say whose ids a block has.
     """
     end = int(end_id).to_bytes(4, "little")
     id_type = pa.int64()
 
-    def coded(part: int, number: int, ids: list, held: list[bytes]) -> pa.RecordBatch:
-        payload = encode_block(np.frombuffer(b"".join(held), "<u4"))
+    def coded(part: int, number: int, before: int, ids: list, held: list[bytes]) -> pa.RecordBatch:
+        flat = np.frombuffer(b"".join(held), "<u4")
+        payload = encode_block(flat)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([part], pa.int32()), pa.array([number], pa.int64()),
+                pa.array([before], pa.int64()), pa.array([len(flat)], pa.int64()),
                 pa.array([ids], pa.list_(id_type)),
                 pa.array([[len(h) // 4 for h in held]], pa.list_(pa.int64())),
                 pa.array([payload], pa.binary()),
             ],
-            ["part", "block", "doc_ids", "lengths", "payload"],
+            ["part", "block", "before", "size", "doc_ids", "lengths", "payload"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, ids, held, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, number, before, ids, held, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
         for whole in batches:
-            for i in range(0, whole.num_rows, 200):
-                batch = whole.slice(i, 200)
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                found = encoder(tokenizer, kind).encode(texts)
+            for batch in sized(whole, "text"):
+                found = encoder(tokenizer, kind).encode_column(pc.fill_null(batch.column("text"), ""))
                 for doc_id, encoded in zip(batch.column("doc_id").to_pylist(), found, strict=True):
                     ids.append(doc_id)
                     held.append(encoded + end)
                     size += len(encoded) // 4 + 1
                     if size >= block:
-                        yield coded(part, number, ids, held)
-                        number, ids, held, size = number + 1, [], [], 0
+                        yield coded(part, number, before, ids, held)
+                        number, before, ids, held, size = number + 1, before + size, [], [], 0
         if held:
-            yield coded(part, number, ids, held)
+            yield coded(part, number, before, ids, held)
 
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .repartitionByRange(F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     )
-    schema = "part int, block long, doc_ids array<long>, lengths array<long>, payload binary"
+    schema = "part int, block long, before long, size long, doc_ids array<long>, lengths array<long>, payload binary"
     ordered.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
 
 
@@ -348,31 +353,24 @@ def read_blocks(
     """Every document of the files: ``doc_id``, ``start`` (ids before it) and ``n_tokens``.
 
     ``payload`` names columns made of a document's ``ids`` (little-endian unsigned 32-bit integers):
-    the ids themselves unless it says otherwise. Blocks' starts come from their lengths alone.
+    the ids themselves unless it says otherwise. Where a part starts comes from the blocks' sizes alone: a row per
+    task that wrote blocks, which is broadcast, so what is decoded stays where it is.
     """
     payload = {"ids": F.col("ids")} if payload is None else payload
     blocks = spark.read.parquet(path)
-    sizes = blocks.groupBy("part").agg(
-        F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("in_part")
-    )
+    sizes = blocks.groupBy("part").agg(F.max(F.col("before") + F.col("size")).alias("in_part"))
     parts = sizes.select(
-        "part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("before")
-    )
-    inside = Window.partitionBy("part").orderBy("block")
-    offsets = blocks.select(
-        "part", "block",
-        F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("in_block"),
-    ).withColumn("in_part_before", F.sum("in_block").over(inside) - F.col("in_block"))
-    offsets = offsets.join(parts, "part").select(
-        "part", "block", (F.col("before") + F.col("in_part_before")).alias("first")
+        "part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("first")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                raw = decode_block(row["payload"]).astype("<u4").tobytes()
-                ends = np.cumsum(np.array(row["lengths"], np.int64))
-                begins = ends - np.array(row["lengths"], np.int64)
+            for k in range(batch.num_rows):  # one block at a time: a batch may have many
+                row = batch.slice(k, 1).to_pylist()[0]
+                raw = decode_block(row["payload"]).tobytes()
+                lengths = np.array(row["lengths"], np.int64)
+                ends = np.cumsum(lengths)
+                begins = ends - lengths
                 for i in range(0, len(ends), 2000):
                     some = slice(i, i + 2000)
                     cut = zip(begins[some].tolist(), ends[some].tolist(), strict=True)
@@ -380,19 +378,17 @@ def read_blocks(
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([row["part"]] * n, pa.int32()),
-                            pa.array([row["block"]] * n, pa.int64()),
                             pa.array(row["doc_ids"][some], pa.int64()),
-                            pa.array(begins[some]), pa.array(ends[some] - begins[some]),
+                            pa.array(row["before"] + begins[some]), pa.array(lengths[some]),
                             pa.array([raw[4 * a : 4 * b] for a, b in cut], pa.binary()),
                         ],
-                        ["part", "block", "doc_id", "within", "n_tokens", "ids"],
+                        ["part", "doc_id", "within", "n_tokens", "ids"],
                     )
 
-    schema = "part int, block long, doc_id long, within long, n_tokens long, ids binary"
+    schema = "part int, doc_id long, within long, n_tokens long, ids binary"
     found = blocks.mapInArrow(run, schema).select(
-        "part", "block", "doc_id", "within", "n_tokens",
-        *[c.alias(name) for name, c in payload.items()],
+        "part", "doc_id", "within", "n_tokens", *[c.alias(name) for name, c in payload.items()]
     )
-    return found.join(offsets, ["part", "block"]).select(
+    return found.join(F.broadcast(parts), "part").select(
         "doc_id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", *payload
     )

@@ -373,6 +373,39 @@ def test_a_block_of_documents_takes_less_than_its_order_0_entropy(spark):
     assert 8 * len(coder.encode_block(ids)) < -(share * np.log2(share)).sum() * len(ids)
 
 
+def test_every_id_has_a_part_of_the_interval_however_sure_the_predictions_are():
+    model, lanes = coder.Model(), 64
+    for step in range(3000):
+        before, last = np.full(lanes, (step - 2) % 5), np.full(lanes, (step - 1) % 5)
+        model.predict(before, last)
+        model.interval(now := np.full(lanes, step % 5))
+        model.update(now)
+    for i in range(0, 1 << coder.ID_BITS, 4096):
+        ids = np.arange(i, i + 4096)
+        model.predict(np.full(4096, (step - 1) % 5), np.full(4096, step % 5))
+        begin, size = model.interval(ids)
+        assert (size > 0).all()
+        assert (model.ids_in(begin) == ids).all() and (model.ids_in(begin + size - 1) == ids).all()
+    assert model.chance.min() > 60_000
+
+
+def test_a_surprise_after_a_long_repeat_round_trips():
+    ids = np.tile(np.arange(5), 60_000)
+    ids[200_000::7001] = 40_000
+    assert (coder.decode_block(coder.encode_block(ids)) == ids).all()
+
+
+def test_words_are_kept_in_few_bytes_and_encoded_as_when_they_are_not():
+    texts = [" ".join(f"{a}{b}{c}{tail}" for b in "abcdefgh" for c in "pqrstuvw" for tail in ("", ".", "é,", "7"))
+             for a in ("Wo", "no", "É", "x-")]
+    encoder = tokens.Encoder(tokens.public_path("word_bpe_49k.json"), tokens.WORD_LEVEL)
+    first = encoder.encode(texts)
+    kept = encoder.words
+    assert len(kept.words) == len({w for t in texts for w in t.split()})
+    assert kept.words.nbytes + kept.ids.nbytes + kept.starts.nbytes < 60 * len(kept.words)
+    assert first == encoder.encode(texts) == encoder.whole(texts)
+
+
 def test_damaged_blocks_are_refused():
     block = coder.encode_block(np.arange(2000) % 50)
     for damaged in (block[:-1], block[:10], b"", block[:-9] + bytes([block[-9] ^ 1]) + block[-8:], b"x" + block[1:]):
