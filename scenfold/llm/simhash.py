@@ -17,12 +17,14 @@ that hold leave outside the largest piece of their component of candidates meet
 
 Edge cases: a null or empty text, or one of white space, has fingerprint 0, linked like any other; a
 text with fewer words than a shingle is one shingle; a null id takes part but names no component (a
-component of null ids alone is null); repeated rows are kept; no rows give no rows.
+component of null ids alone is null); repeated rows are kept; no rows give no rows. Deduplication keeps one
+row of a group of null ids alone, and none where the group has an id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,8 @@ SKETCH_WORDS = 4
 SKETCH_BITS = 60
 SHINGLES = 1 << 19  # in a block of sets to compare
 BROADCAST = 1_000_000
+# Keys of documents: their ids, or a row's number added to 2^63, beyond all of these.
+KEY, AFTER_IDS, ROW = "decimal(20,0)", Decimal(1 << 63), "row_without_id"
 
 # Keys of BANDS times BAND minima: of pairs with a similarity of 0.8, one in 20 million has none in common.
 BANDS, BAND = 32, 4
@@ -514,8 +518,19 @@ def outsiders(large: DataFrame, pieces: DataFrame) -> DataFrame:
     return met.select(F.explode(keys).alias("key"), "node", "shingles")
 
 
-def duplicate_ids(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """``(doc_id, component_id)`` of the documents that are near-duplicates of one with a lesser id.
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(key, text)`` of all documents, and the rows without an id, numbered and stored, with their key.
+
+    The key of a document is its id. Every row without one is a document of its own, after all ids.
+    """
+    unnamed = docs.filter(F.col("doc_id").isNull()).withColumn(ROW, F.monotonically_increasing_id())
+    unnamed = stored(unnamed).withColumn(ROW, (F.col(ROW) + F.lit(AFTER_IDS)).cast(KEY))
+    named = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").cast(KEY).alias("key"), "text")
+    return named.union(unnamed.select(F.col(ROW).alias("key"), "text")), unnamed
+
+
+def duplicate_keys(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """``(key, component)`` of the documents (key, text) that are near-duplicates of one with a lesser key.
 
     Texts are near-duplicates if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, or
     others link them. Sets that share a key and have near sketches are candidates; every link
@@ -534,8 +549,8 @@ def duplicate_ids(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
                 ["doc_id", "node", "size", "search", "print"],
             )
 
-    known = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    made = stored(known.mapInArrow(run, "doc_id long, node long, size long, search binary, print binary"))
+    docs = docs.withColumnRenamed("key", "doc_id")
+    made = stored(docs.mapInArrow(run, f"doc_id {KEY}, node long, size long, search binary, print binary"))
     classes = stored(
         made.groupBy("node").agg(
             F.min("doc_id").alias("least_id"), F.count("*").alias("n_rows"), *[F.first(c).alias(c) for c in ("size", "search", "print")]
@@ -544,7 +559,7 @@ def duplicate_ids(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     candidates = stored(linked(classes, each_key, SKETCH_BITS, SKETCH_WORDS, bucket))
     near = components(candidates)
     groups = classes.join(near, "node").select("node", "component", "size", "least_id")
-    found = components(similar(known, groups, candidates))
+    found = components(similar(docs, groups, candidates))
     named = stored(classes.join(found, "node", "left").select(
         "node", "least_id", "n_rows", F.coalesce("component", "node").alias("component")
     ))
@@ -554,13 +569,33 @@ def duplicate_ids(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     answers = stored(spread_join(named, least, "component").select("node", "component_id", "n_rows"))
     return spread_join(made.select("doc_id", "node"), answers, "node", "n_rows").filter(
         F.col("doc_id") != F.col("component_id")
-    ).select("doc_id", "component_id")
+    ).select(F.col("doc_id").alias("key"), F.col("component_id").alias("component"))
+
+
+def named_of(duplicates: DataFrame) -> DataFrame:
+    """``(doc_id, component_id)`` of the duplicates that have an id; what they copy has one too, as ids come first."""
+    return duplicates.filter(F.col("key") < F.lit(AFTER_IDS)).select(
+        F.col("key").cast("long").alias("doc_id"), F.col("component").cast("long").alias("component_id")
+    )
+
+
+def duplicate_ids(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """``(doc_id, component_id)`` of the documents that are near-duplicates of one with a lesser id.
+
+    Rows without an id take part in the search, and may link others, but are not named here.
+    """
+    return named_of(duplicate_keys(keyed(docs)[0], bucket))
 
 
 def deduplicated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """The documents that are not near-duplicates of one with a lesser id, with all their columns.
+    """The documents that are not near-duplicates of one with a lesser key, with all their columns.
 
-    Rows that share an id are one document, kept or dropped together; rows without an id are kept.
+    Rows that share an id are one document, kept or dropped together. A row without an id is a document of its own
+    after all that have one: it goes if it is a near-duplicate of one of those, and of a group of such rows alone
+    one stays.
     """
-    dropped = stored(duplicate_ids(docs, bucket).select("doc_id").distinct())
-    return docs.join(dropped, "doc_id", "left_anti")
+    texts, unnamed = keyed(docs)
+    dropped = stored(duplicate_keys(texts, bucket).distinct())
+    kept = docs.join(named_of(dropped).select("doc_id").distinct(), "doc_id", "left_anti").filter(F.col("doc_id").isNotNull())
+    alone = unnamed.join(dropped.select(F.col("key").alias(ROW)), ROW, "left_anti")
+    return kept.select(docs.columns).union(alone.select(docs.columns))

@@ -131,6 +131,21 @@ def test_deduplication_keeps_one_of_each_group(spark):
     assert sorted(kept) == [0, 4, 5, 6, 7, 8]
 
 
+def test_documents_without_an_id_take_part_in_deduplication(spark):
+    base = [f"w{i}" for i in range(300)]
+    near, link = base[:150] + ["new"] + base[151:], base[:295]
+    far = [f"w{i}" for i in range(36, 295)]  # alike to the link at 0.8 or more, to the whole less
+    alone = [f"d{i}" for i in range(300)]
+    rows = [(None, " ".join(t), "en", "a") for t in (base, base, near, link, alone, alone, alone[:-1], ["x"])]
+    rows += [(7, " ".join(base), "en", "a"), (9, " ".join(far), "en", "a"), (8, "y", "en", "a"), (None, None, "en", "a"), (None, "", "de", "b")]
+    docs = documents(spark, rows).repartition(4)
+    found = simhash.deduplicated(docs)
+    assert found.columns == docs.columns
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, (r.text or "").split()[:1]) for r in found.collect())
+    assert kept == [(-1, []), (-1, ["d0"]), (-1, ["x"]), (7, ["w0"]), (8, ["y"])]
+    assert [tuple(r) for r in simhash.duplicate_ids(docs).collect()] == [(9, 7)]
+
+
 def edited_pair(draw, words, kind):
     """Two texts with a five-word-shingle similarity of 0.8 or barely more, and that similarity."""
     text = [f"w{int(draw.paretovariate(0.4))}.{draw.randrange(9)}" for _ in range(words)]
