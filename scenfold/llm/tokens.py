@@ -4,8 +4,8 @@ A text is cut at white space where the tokenizer cuts it anyway (line breaks too
 most parts of a corpus come again and again. Texts in which such a cut might not be the tokenizer's (special tokens, rare
 white space, spaces side by side) are encoded whole, so the ids are those of ``encode(text, add_special_tokens=False)``.
 
-Word-level tokenizers take parts in columns: the distinct parts of some megabytes of texts are looked up in the kept
-parts, which are a column too and take some 30 bytes each (as objects, more than ten times that).
+The distinct parts of some megabytes of texts are looked up in the kept parts, which are a column and take some 40 bytes
+each (as objects, some 320).
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ SPACES_TOGETHER = ("  ", "\t ", "\n ", "\x0b ", "\x0c ", "\r ")
 KEPT_PARTS = 900_000
 PUNCTUATION = ".,;:!?*#%&$|"
 PLAIN = "\0"  # marks a part without a space before it
-TOGETHER = 200  # texts encoded at a time
 TEXT_BYTES = 1 << 22  # of texts whose words are looked up at a time, ...
 WORDS_TOGETHER = 1 << 19  # ... and words
 WHOLE_TEXT = f"<\\||\\x00|{ODD_SPACE.pattern}"  # texts that are not cut into words
@@ -61,6 +60,19 @@ def sized(batch: pa.RecordBatch, column: str, size: int = TEXT_BYTES) -> Iterato
         yield batch.slice(a, b - a)
 
 
+def together(texts: list[str], size: int = TEXT_BYTES) -> Iterator[list[str]]:
+    """The texts in lists of about ``size`` characters."""
+    some, held = [], 0
+    for text in texts:
+        some.append(text)
+        held += len(text)
+        if held >= size:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def taken(ids: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the pieces ``at``, one after the other, and how many each has; piece i starts at ``starts[i]``."""
     sizes = np.diff(starts)[at]
@@ -108,8 +120,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.kind = kind
-        self.kept: dict[str, bytes] = {}
-        self.words = KeptWords(self.fresh_words)
+        self.words = KeptWords(self.fresh_words if kind == WORD_LEVEL else self.fresh_parts)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         encodings = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -148,21 +159,19 @@ class Encoder:
         # A part stands for itself after a space; the first has none, which the mark tells.
         return [PLAIN + first, *rest] if first else rest
 
-    def ids_of(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of parts that are not kept; trailing punctuation after letters is a token of its own."""
+    def fresh_parts(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``KeptWords.ids_of``, of distinct parts; trailing punctuation after letters is a token of its own."""
+        parts = distinct.to_pylist()
         cores = {p: p.rstrip(PUNCTUATION) for p in parts}
         split = {p: p[len(c) :] for p, c in cores.items() if c != p and c.isalpha()}
-        kept = self.kept  # membership of few parts; a difference of sets would walk all that is kept
-        wanted = [p for p in {cores[p] if p in split else p for p in parts} if p not in kept]
-        wanted += [p for p in {PLAIN + tail for tail in split.values()} if p not in kept]
+        wanted = {cores[p] if p in split else p for p in parts} | {PLAIN + tail for tail in split.values()}
         found = {p: ids for p in wanted if (ids := self.word(p)) is not None}
         others = [p for p in wanted if p not in found]
         texts = [p[1:] if p.startswith(PLAIN) else " " + p for p in others]
         found.update(zip(others, self.whole(texts), strict=True))
-        for part, tail in split.items():
-            core, end = cores[part], PLAIN + tail
-            found[part] = (found.get(core) or self.kept[core]) + (found.get(end) or self.kept[end])
-        return found
+        ids = [found[cores[p]] + found[PLAIN + split[p]] if p in split else found[p] for p in parts]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return np.frombuffer(b"".join(ids), "<u4"), sizes
 
     def fresh_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As ``KeptWords.ids_of``, of distinct words; trailing punctuation after letters is a token of its own."""
@@ -187,12 +196,7 @@ class Encoder:
         uncut = pc.match_substring_regex(texts, WHOLE_TEXT)
         whole = iter(self.whole(texts.filter(uncut).to_pylist()))
         cut = pc.ascii_split_whitespace(texts.filter(pc.invert(uncut)))
-        words, ends = cut.flatten(), np.cumsum(pc.list_value_length(cut).to_numpy())
-        made = [self.words.ids_of(words.slice(i, WORDS_TOGETHER)) for i in range(0, len(words), WORDS_TOGETHER)]
-        ids = np.concatenate([np.zeros(0, "<u4"), *[ids for ids, _ in made]])
-        sizes = np.concatenate([np.zeros(1, np.int64), *[sizes for _, sizes in made]])
-        bounds = np.cumsum(sizes)[np.concatenate([[0], ends])].tolist()
-        found = (ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+        found = self.cut_at(cut.flatten(), pc.list_value_length(cut).to_pylist())
         return [next(whole) if x else next(found) for x in uncut.to_pylist()]
 
     def encode_column(self, texts: pa.Array) -> list[bytes]:
@@ -205,27 +209,22 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.kind == WORD_LEVEL:
             return self.encode_column(pa.array(texts, pa.string()))
-        out: list[bytes] = []
-        for i in range(0, len(texts), TOGETHER):
-            out += self._encode(texts[i : i + TOGETHER])
-        return out
+        return [ids for some in together(texts) for ids in self._encode(some)]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if PLAIN in t else self.parts(t) for t in texts]
         whole = iter(self.whole([t for t, p in zip(texts, cut, strict=True) if p is None]))
-        get = self.kept.get
-        ids = [[next(whole)] if p is None else list(map(get, p)) for p in cut]
-        gaps = [
-            [] if p is None else [i for i, x in enumerate(found) if x is None]
-            for p, found in zip(cut, ids, strict=True)
-        ]
-        fresh = self.ids_of(list({p[i] for p, at in zip(cut, gaps, strict=True) for i in at}))
-        for p, found, at in zip(cut, ids, gaps, strict=True):
-            for i in at:
-                found[i] = fresh[p[i]]
-        if len(self.kept) < KEPT_PARTS:  # the parts seen first are the common ones
-            self.kept.update(fresh)
-        return [b"".join(found) for found in ids]
+        parts = pa.array([x for p in cut if p is not None for x in p], pa.string())
+        found = self.cut_at(parts, [len(p) for p in cut if p is not None])
+        return [next(whole) if p is None else next(found) for p in cut]
+
+    def cut_at(self, words: pa.Array, numbers: list[int]) -> Iterator[bytes]:
+        """Ids of texts that have so many of the words."""
+        made = [self.words.ids_of(words.slice(i, WORDS_TOGETHER)) for i in range(0, len(words), WORDS_TOGETHER)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *[ids for ids, _ in made]])
+        sizes = np.concatenate([np.zeros(1, np.int64), *[sizes for _, sizes in made]])
+        bounds = np.cumsum(sizes)[np.cumsum([0, *numbers])].tolist()
+        return (ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True))
 
 
 @lru_cache(maxsize=2)
